@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from meshwright.llm.op5_media import op5_media_columns
+from meshwright.llm.op7_packing import op7_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op5_media_columns,
+        op7_packing,
     )
 }
 
