@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meshwright.llm.op5_media import op5_media_columns
 from meshwright.llm.op7_packing import op7_packing
+from meshwright.llm.op9_rules import op9_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op5_media_columns,
         op7_packing,
+        op9_quality_rules,
     )
 }
 
