@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meshwright.llm.op10_toxicity import op10_toxicity
 from meshwright.llm.op5_media import op5_media_columns
 from meshwright.llm.op7_packing import op7_packing
 from meshwright.llm.op9_rules import op9_quality_rules
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_media_columns,
         op7_packing,
         op9_quality_rules,
+        op10_toxicity,
     )
 }
 
