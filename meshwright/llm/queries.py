@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from meshwright.llm.op10_toxicity import op10_toxicity
+from meshwright.llm.op3_quality import op3_quality
 from meshwright.llm.op5_media import op5_media_columns
 from meshwright.llm.op7_packing import op7_packing
 from meshwright.llm.op9_rules import op9_quality_rules
@@ -14,6 +15,7 @@ from meshwright.llm.op9_rules import op9_quality_rules
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op3_quality,
         op5_media_columns,
         op7_packing,
         op9_quality_rules,
