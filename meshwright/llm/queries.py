@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from meshwright.llm.op1_html import op1_html_extraction
 from meshwright.llm.op10_toxicity import op10_toxicity
 from meshwright.llm.op3_quality import op3_quality
 from meshwright.llm.op5_media import op5_media_columns
@@ -15,6 +16,7 @@ from meshwright.llm.op9_rules import op9_quality_rules
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_html_extraction,
         op3_quality,
         op5_media_columns,
         op7_packing,
