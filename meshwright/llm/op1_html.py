@@ -201,13 +201,17 @@ def fit(trees: list[Tree], steps: int = 150) -> tuple[np.ndarray, np.ndarray]:
     return theta[:N_FEATURES], theta[N_FEATURES:].reshape(3, 2, 2)
 
 
-def labelled_pages(n: int = 400, seed: int = 5) -> list[str]:
+def labelled_pages(n: int = 500, seed: int = 5) -> list[str]:
     """Pages whose elements carry ``data-truth`` (content or other), inherited by what is inside."""
     r = random.Random(seed)
     syllables = "an be co da el fo gi ha in jo ka lu me no or pa qui re su ta un vi we yo ze tion ment able".split()
     word = lambda: "".join(r.choice(syllables) for _ in range(r.randint(1, 3)))
 
+    plain = [False]  # whether the page's texts have no punctuation
+
     def sentence(a: int, b: int) -> str:
+        if plain[0]:
+            return " ".join([word()] * r.randint(1, 8) + [word() for _ in range(r.randint(a, b))]).capitalize()
         ws = [word() + ("," if r.random() < 0.08 else "") for _ in range(r.randint(a, b))]
         return (" ".join(ws)).strip(",").capitalize() + r.choice("....!?")
 
@@ -271,6 +275,7 @@ def labelled_pages(n: int = 400, seed: int = 5) -> list[str]:
         return f"<div>{prose(r.randint(1, 4))}</div>"
 
     def page() -> str:
+        plain[0] = r.random() < 0.2
         inside = [f"<h1>{sentence(2, 10)}</h1>"] if r.random() < 0.85 else []
         for _ in range(r.randint(1, 14)):
             inside.append(block())
