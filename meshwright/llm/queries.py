@@ -10,6 +10,7 @@ from meshwright.llm.op1_html import op1_html_extraction
 from meshwright.llm.op10_toxicity import op10_toxicity
 from meshwright.llm.op3_quality import op3_quality
 from meshwright.llm.op5_media import op5_media_columns
+from meshwright.llm.op6_minhash import op6_minhash_dedup
 from meshwright.llm.op7_packing import op7_packing
 from meshwright.llm.op9_rules import op9_quality_rules
 
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_html_extraction,
         op3_quality,
         op5_media_columns,
+        op6_minhash_dedup,
         op7_packing,
         op9_quality_rules,
         op10_toxicity,
