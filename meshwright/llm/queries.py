@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from meshwright.llm.op1_html import op1_html_extraction
 from meshwright.llm.op10_toxicity import op10_toxicity
+from meshwright.llm.op2_lines import op2_line_dedup
 from meshwright.llm.op3_quality import op3_quality
 from meshwright.llm.op5_media import op5_media_columns
 from meshwright.llm.op6_minhash import op6_minhash_dedup
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_html_extraction,
+        op2_line_dedup,
         op3_quality,
         op5_media_columns,
         op6_minhash_dedup,
