@@ -13,6 +13,7 @@ from meshwright.llm.op3_quality import op3_quality
 from meshwright.llm.op5_media import op5_media_columns
 from meshwright.llm.op6_minhash import op6_minhash_dedup
 from meshwright.llm.op7_packing import op7_packing
+from meshwright.llm.op8_mixing import op8_mixing
 from meshwright.llm.op9_rules import op9_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_media_columns,
         op6_minhash_dedup,
         op7_packing,
+        op8_mixing,
         op9_quality_rules,
         op10_toxicity,
     )
