@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from meshwright.llm.op1_html import op1_html_extraction
 from meshwright.llm.op10_toxicity import op10_toxicity
 from meshwright.llm.op2_lines import op2_line_dedup
@@ -31,4 +33,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+QUERIES["pipeline"] = corpus_pipeline.run
+
+ORACLE_SQL: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
