@@ -12,6 +12,7 @@ from meshwright.llm.op1_html import op1_html_extraction
 from meshwright.llm.op10_toxicity import op10_toxicity
 from meshwright.llm.op2_lines import op2_line_dedup
 from meshwright.llm.op3_quality import op3_quality
+from meshwright.llm.op4_lm import op4_lm_scoring
 from meshwright.llm.op5_media import op5_media_columns
 from meshwright.llm.op6_minhash import op6_minhash_dedup
 from meshwright.llm.op7_packing import op7_packing
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_html_extraction,
         op2_line_dedup,
         op3_quality,
+        op4_lm_scoring,
         op5_media_columns,
         op6_minhash_dedup,
         op7_packing,
