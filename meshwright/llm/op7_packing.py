@@ -17,9 +17,9 @@ null id is kept as null; an empty table gives no pieces; further columns of the
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 from meshwright.llm.common import as_bytes, table
 
 SEQUENCE, BLOCK, END_ID = 2048, 256, 1
-#: A word's ids are kept up to this length, and so many words at once; longer and further words are tokenised again.
-CACHED_BYTES, CACHED_WORDS = 64, 300_000
+#: Words up to this length are kept with their ids, up to so many; others are tokenised each time.
+CACHED_BYTES, CACHED_WORDS = 64, 700_000
+_TAILED = re.compile(rb"([a-z\x80-\xff]+)([^a-z0-9'\x80-\xff]+)", re.S)
 
 
 def default_tokenizer() -> str:
@@ -43,7 +44,11 @@ def default_tokenizer() -> str:
 
 
 class WordIds(dict):
-    """Ids of each word. The vocabulary drops white space and never joins across it, so words can be taken one by one."""
+    """Ids of each word, as little-endian 16-bit numbers.
+
+    The vocabulary drops white space and letter case and never joins letters with punctuation or across white space, so
+    words can be taken one by one in lower case, and a word of letters with ASCII punctuation behind it in two parts.
+    """
 
     def __init__(self, path: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,18 +56,27 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path or default_tokenizer())
-
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        ids = tuple(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids)
-        if len(word) <= CACHED_BYTES:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.end = np.array(END_ID, self.kind)
+
+    def encode(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, self.kind).tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        parts = _TAILED.fullmatch(word)
+        if parts and (parts[1][-1] < 0x80 or parts[1].decode("utf-8", "replace")[-1].lower()[-1].isalpha()):
+            ids = self[parts[1]] + self[parts[2]]
+        else:
+            ids = self.encode(word)
+        if len(word) <= CACHED_BYTES and len(self) < CACHED_WORDS:
             self[word] = ids
         return ids
 
     def of(self, text: bytes) -> np.ndarray:
         """The ids of a whole text."""
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, text.split())), np.uint32)
+        if b"<|" in text:  # perhaps a special token's string, whose case matters
+            return np.frombuffer(self.encode(text), self.kind)
+        return np.frombuffer(b"".join(map(self.__getitem__, text.lower().split())), self.kind)
 
 
 _loaded: dict[str | None, WordIds] = {}
@@ -156,7 +170,7 @@ def pack(
         words, packer = word_ids(tokenizer), Packer(sequence, block, linear, quadratic, TaskContext.get().partitionId() << 40)
         for b in batches:
             for k, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
-                packer.add(k, np.append(words.of(t), np.uint32(END_ID)))
+                packer.add(k, np.append(words.of(t), words.end))
                 if len(packer.rows) >= 4096:
                     yield batch(packer.drain())
         packer.finish()
