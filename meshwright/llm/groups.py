@@ -8,28 +8,80 @@ no group of links is ever gathered into a row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshwright.llm.common import stored
 
 
-def bucket_pairs(members: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """Pairs (a, b), a < b, of members (key, id) of one bucket that decide what the bucket's groups are.
+def shared_buckets(members: DataFrame) -> DataFrame:
+    """(key, id, degree, first) of members (key, id) that share their bucket with others.
+
+    degree: how many members the buckets of an id have together. first: the member of the bucket with the largest degree
+    (then the least id). Among copies with edits of their own, the text that all were made from has the largest degree.
+    """
+    sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = stored(members.join(sizes.hint("merge"), "key"))
+    degrees = shared.groupBy("id").agg(F.sum("n").alias("degree"))
+    ranked = stored(shared.drop("n").join(degrees.hint("merge"), "id"))
+    first = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("least"))).alias("top"))
+    return stored(ranked.join(first.select("key", (-F.col("top.least")).alias("first")).hint("merge"), "key"))
+
+
+def star_pairs(shared: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of each member with the first of its bucket: ``n`` members give ``n - 1`` pairs."""
+    star = shared.where("id <> first").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b"))
+    return star.distinct()
+
 
-    Without ``links``: each member with the bucket's first one. With ``links`` (verified pairs of that kind): each member
-    that is not linked to the first one, with every member. Together these find the same groups as all pairs of the
-    bucket, as members linked to the first one are in one group whatever stands between them, and a bucket of ``n`` near
-    copies gives ``n`` pairs.
+def _with_distance(grouped: DataFrame, pivot: str, name: str, known: DataFrame) -> DataFrame:
+    """``grouped`` with the distance of each id from its bucket's pivot, if that pair is known (a, b, distance)."""
+    of = known.select(F.col("a").alias("a__"), F.col("b").alias("b__"), F.col("distance").alias(name))
+    joined = grouped.join(of.hint("merge"), (F.least("id", pivot) == F.col("a__")) & (F.greatest("id", pivot) == F.col("b__")), "left").drop("a__", "b__")
+    return joined.withColumn(name, F.when(F.col("id") == F.col(pivot), F.lit(0.0)).otherwise(F.col(name)))
+
+
+def near_groups(members: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame], reach: float | Column) -> DataFrame:
+    """(id, root) of ids in groups that near pairs of members (key, id) of one bucket connect.
+
+    ``verify(pairs, ids)`` gives (a, b, distance, near) of pairs (a, b) of the given ids; distance is a metric, and
+    ``near`` holds only for distances of at most ``reach`` (a number, or an expression of sizes ``size_1``, ``size_2`` that
+    members bring as ``size``). The groups are those of all pairs in every bucket, found with far fewer comparisons:
+
+    1. each member with its bucket's first one, the pivot;
+    2. members outside the pivot's group: the one of them with the largest degree is a second pivot for the bucket;
+    3. members still outside, with members of other groups than theirs, unless their distances from a pivot differ by
+       more than ``reach``: by the triangle inequality those are no near pairs.
     """
-    first = members.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    starred = members.join(first, "key").where("id > first").select("key", "id", "first")
-    if links is None:
-        return starred.select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    known = links.select(F.col("a").alias("first"), F.col("b").alias("id"))
-    minor = starred.join(known, ["first", "id"], "left_anti").select("key", F.col("id").alias("one"))
-    pairs = minor.join(members, "key").where("one <> id").select(F.least("one", "id").alias("a"), F.greatest("one", "id").alias("b"))
-    return pairs.distinct()
+    shared = shared_buckets(members)
+    ids = shared.select("id").distinct()
+    first = stored(verify(star_pairs(shared), ids))
+    links = first.where("near").select("a", "b")
+
+    def grouped(roots: DataFrame, rows: DataFrame) -> DataFrame:
+        rows = rows.join(roots.hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        main = roots.select(F.col("id").alias("first"), F.col("root").alias("main"))
+        return rows.join(main.hint("merge"), "first", "left").withColumn("main", F.coalesce("main", "first"))
+
+    rows = stored(grouped(components(links), shared))
+    second = rows.where("root <> main").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("least"))).alias("top"))
+    rows = stored(rows.drop("root", "main").join(second.select("key", (-F.col("top.least")).alias("second")).hint("merge"), "key"))
+    pairs = rows.where("id <> second").select(F.least("id", "second").alias("a"), F.greatest("id", "second").alias("b")).distinct()
+    known = first.unionByName(stored(verify(pairs.join(first.hint("merge"), ["a", "b"], "left_anti"), ids)))
+    links = known.where("near").select("a", "b")
+    rows = _with_distance(_with_distance(grouped(components(links), rows), "first", "d1", known), "second", "d2", known)
+    rows = stored(rows)
+    side = lambda k: rows.select(*(F.col(c).alias(f"{c}_{k}") for c in ("key", "id", "root", "d1", "d2", *(["size"] if "size" in rows.columns else []))))
+    outer = side(1).join(rows.where("root <> main").select(F.col("key").alias("key_1"), F.col("id").alias("id_1")), ["key_1", "id_1"], "left_semi")
+    possible = (F.col("key_1") == F.col("key_2")) & (F.col("root_1") != F.col("root_2"))
+    for d in ("d1", "d2"):
+        possible = possible & (F.abs(F.col(f"{d}_1") - F.col(f"{d}_2")) <= reach)
+    inner = side(2)
+    left = outer.join(inner.hint("merge"), possible).select(F.least("id_1", "id_2").alias("a"), F.greatest("id_1", "id_2").alias("b")).distinct()
+    rest = verify(left.join(known.hint("merge"), ["a", "b"], "left_anti"), ids)
+    return components(links.unionByName(rest.where("near").select("a", "b")))
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
@@ -39,10 +91,10 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.where("b > a").join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(least.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == before:

@@ -9,7 +9,8 @@ process stops when it is past the latest register of its document, as published.
 registers give the buckets; pairs are verified by the exact multiset overlap (sum of minima over sum of maxima).
 
 Texts that are equal are one class from the start, and only one document of each goes on. Within a bucket, each member is
-compared with the first one, and members that are not linked to it with all others (:func:`groups.bucket_pairs`).
+compared with the one that has most neighbours, and then only pairs that may still join two groups are compared; weighted
+Jaccard distance is a metric, so most of those are ruled out by distances that are known (:func:`groups.near_groups`).
 
 Defined results: null and empty texts are equal texts and form one class; texts of fewer than five words have no
 shingles and are near to equal texts only; letter case of A-Z doesn't matter for shingles; very long texts are hashed
@@ -20,13 +21,15 @@ table gives an empty table; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import Words, mix, per_text, stored, table
-from meshwright.llm.groups import bucket_pairs, components
+from meshwright.llm.common import Words, as_bytes, mix, per_text, spans, stored, table
+from meshwright.llm.groups import near_groups
 
 SHINGLE, BANDS, ROWS, SIMILARITY, STEP = 5, 21, 6, 0.8, 3 << 20
 REGISTERS = BANDS * ROWS
@@ -114,30 +117,20 @@ def overlap(left: list[bytes], right: list[bytes]) -> np.ndarray:
     return common / np.maximum(1, total - common)
 
 
-def verified(pairs: DataFrame, documents: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar. Only texts of documents in a pair are moved."""
-    pairs = stored(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stored(documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    of = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
-    joined = pairs.join(of("a"), "a").join(of("b"), "b")
-    packed = joined.select(F.struct("a", "b").alias("pair"), F.struct("text_a", "text_b").alias("texts"))
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, distance, near) of the pairs (a, b): one minus the similarity of their texts, which is a metric. texts: doc_id, text."""
+    of = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")).hint("merge")
+    packed = pairs.join(of("a"), "a").join(of("b"), "b").select(F.struct("a", "b").alias("pair"), F.struct("text_a", "text_b").alias("texts"))
 
-    import pyarrow as pa
-
-    from meshwright.llm.common import as_bytes, spans
-
-    def run(batches):  # noqa: ANN001, ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pair, both = batch.column(0), batch.column(1)
             a, b = as_bytes(both.field(0)), as_bytes(both.field(1))
-            sizes = [x + y for x, y in zip(a, b, strict=True)]
-            for lo, hi in spans(sizes, STEP):
-                near = np.flatnonzero(overlap(a[lo:hi], b[lo:hi]) >= similarity) + lo
-                if len(near):
-                    yield pa.RecordBatch.from_arrays([pair.field(k).take(pa.array(near)) for k in (0, 1)], names=["a", "b"])
+            found = [overlap(a[lo:hi], b[lo:hi]) for lo, hi in spans([x + y for x, y in zip(a, b, strict=True)], STEP)]
+            value = np.concatenate(found) if found else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([pair.field(0), pair.field(1), pa.array(1 - value), pa.array(value >= similarity)], names=["a", "b", "distance", "near"])
 
-    return packed.mapInArrow(run, "a long, b long")
+    return packed.mapInArrow(run, "a long, b long, distance double, near boolean")
 
 
 def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -146,9 +139,15 @@ def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> Dat
     classes = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     kept = signed.where("size(bands) > 0").join(classes, "digest").where("doc_id = rep")
     members = stored(kept.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key")).distinct())
-    links = stored(verified(bucket_pairs(members), documents, similarity))
-    rest = stored(verified(bucket_pairs(members, links), documents, similarity))
-    roots = components(links.unionByName(rest))
+    texts: list[DataFrame] = []
+
+    def verify(pairs: DataFrame, ids: DataFrame) -> DataFrame:
+        if not texts:  # only texts of documents that share a bucket are moved, and once
+            wanted = ids.withColumnRenamed("id", "doc_id").hint("merge")
+            texts.append(stored(documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
+        return verified(pairs, texts[0], similarity)
+
+    roots = near_groups(members, verify, 1 - similarity + 1e-9)
     out = signed.select("doc_id", "digest").join(classes, "digest").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
     return out.select("doc_id", F.coalesce("root", "rep").alias("class_id"))
 
