@@ -26,14 +26,22 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     shared = stored(members.join(sizes.hint("merge"), "key"))
     degrees = shared.groupBy("id").agg(F.sum("n").alias("degree"))
     ranked = stored(shared.drop("n").join(degrees.hint("merge"), "id"))
-    first = ranked.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("least"))).alias("top"))
-    return stored(ranked.join(first.select("key", (-F.col("top.least")).alias("first")).hint("merge"), "key"))
+    return stored(ranked.join(_leaders(ranked, "first").hint("merge"), "key"))
 
 
-def star_pairs(shared: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of each member with the first of its bucket: ``n`` members give ``n - 1`` pairs."""
-    star = shared.where("id <> first").select(F.least("id", "first").alias("a"), F.greatest("id", "first").alias("b"))
-    return star.distinct()
+def _leaders(rows: DataFrame, name: str) -> DataFrame:
+    """key, the id (``name``) of the row with the largest degree of each bucket, and its sketch if rows have one."""
+    sketch = ["sketch"] if "sketch" in rows.columns else []
+    top = rows.groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("least"), *sketch)).alias("top"))
+    return top.select("key", (-F.col("top.least")).alias(name), *(F.col("top.sketch").alias(f"{name}_sketch") for _ in sketch))
+
+
+def star_pairs(rows: DataFrame, pivot: str, candidate: Callable[[Column, Column], Column] | None) -> DataFrame:
+    """Pairs (a, b), a < b, of each member with its bucket's pivot: ``n`` members give ``n - 1`` pairs at most."""
+    star = rows.where(F.col("id") != F.col(pivot))
+    if candidate is not None:
+        star = star.where(candidate(F.col("sketch"), F.col(f"{pivot}_sketch")))
+    return star.select(F.least("id", pivot).alias("a"), F.greatest("id", pivot).alias("b")).distinct()
 
 
 def _with_distance(grouped: DataFrame, pivot: str, name: str, known: DataFrame) -> DataFrame:
@@ -43,12 +51,12 @@ def _with_distance(grouped: DataFrame, pivot: str, name: str, known: DataFrame)
     return joined.withColumn(name, F.when(F.col("id") == F.col(pivot), F.lit(0.0)).otherwise(F.col(name)))
 
 
-def near_groups(members: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame], reach: float | Column) -> DataFrame:
+def near_groups(members: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame], reach: float | Column, candidate: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(id, root) of ids in groups that near pairs of members (key, id) of one bucket connect.
 
     ``verify(pairs, ids)`` gives (a, b, distance, near) of pairs (a, b) of the given ids; distance is a metric, and
     ``near`` holds only for distances of at most ``reach`` (a number, or an expression of sizes ``size_1``, ``size_2`` that
-    members bring as ``size``). The groups are those of all pairs in every bucket, found with far fewer comparisons:
+    members bring as ``size``); a test ``candidate`` of the ``sketch`` that both bring can rule pairs out before. The groups are those of all pairs in every bucket, found with far fewer comparisons:
 
     1. each member with its bucket's first one, the pivot;
     2. members outside the pivot's group: the one of them with the largest degree is a second pivot for the bucket;
@@ -57,7 +65,7 @@ def near_groups(members: DataFrame, verify: Callable[[DataFrame, DataFrame], Dat
     """
     shared = shared_buckets(members)
     ids = shared.select("id").distinct()
-    first = stored(verify(star_pairs(shared), ids))
+    first = stored(verify(star_pairs(shared, "first", candidate), ids))
     links = first.where("near").select("a", "b")
 
     def grouped(roots: DataFrame, rows: DataFrame) -> DataFrame:
@@ -66,18 +74,20 @@ def near_groups(members: DataFrame, verify: Callable[[DataFrame, DataFrame], Dat
         return rows.join(main.hint("merge"), "first", "left").withColumn("main", F.coalesce("main", "first"))
 
     rows = stored(grouped(components(links), shared))
-    second = rows.where("root <> main").groupBy("key").agg(F.max(F.struct("degree", (-F.col("id")).alias("least"))).alias("top"))
-    rows = stored(rows.drop("root", "main").join(second.select("key", (-F.col("top.least")).alias("second")).hint("merge"), "key"))
-    pairs = rows.where("id <> second").select(F.least("id", "second").alias("a"), F.greatest("id", "second").alias("b")).distinct()
+    second = _leaders(rows.where("root <> main"), "second")
+    rows = stored(rows.drop("root", "main").join(second.hint("merge"), "key"))
+    pairs = star_pairs(rows, "second", candidate)
     known = first.unionByName(stored(verify(pairs.join(first.hint("merge"), ["a", "b"], "left_anti"), ids)))
     links = known.where("near").select("a", "b")
     rows = _with_distance(_with_distance(grouped(components(links), rows), "first", "d1", known), "second", "d2", known)
     rows = stored(rows)
-    side = lambda k: rows.select(*(F.col(c).alias(f"{c}_{k}") for c in ("key", "id", "root", "d1", "d2", *(["size"] if "size" in rows.columns else []))))
+    side = lambda k: rows.select(*(F.col(c).alias(f"{c}_{k}") for c in ("key", "id", "root", "d1", "d2", *(c for c in ("size", "sketch") if c in rows.columns))))
     outer = side(1).join(rows.where("root <> main").select(F.col("key").alias("key_1"), F.col("id").alias("id_1")), ["key_1", "id_1"], "left_semi")
     possible = (F.col("key_1") == F.col("key_2")) & (F.col("root_1") != F.col("root_2"))
     for d in ("d1", "d2"):
-        possible = possible & (F.abs(F.col(f"{d}_1") - F.col(f"{d}_2")) <= reach)
+        possible = possible & F.coalesce(F.abs(F.col(f"{d}_1") - F.col(f"{d}_2")) <= reach, F.lit(True))
+    if candidate is not None:
+        possible = possible & candidate(F.col("sketch_1"), F.col("sketch_2"))
     inner = side(2)
     left = outer.join(inner.hint("merge"), possible).select(F.least("id_1", "id_2").alias("a"), F.greatest("id_1", "id_2").alias("b")).distinct()
     rest = verify(left.join(known.hint("merge"), ["a", "b"], "left_anti"), ids)
