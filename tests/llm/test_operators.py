@@ -181,6 +181,13 @@ def test_lines_keep_one_of_each_group(docs, spark):
     assert len({r["simhash"] for r in hashed.collect()}) == 1
 
 
+def test_short_lines_take_part(spark):
+    texts = ["Les.\n* * *\n\n一二三四五六七八九十\nAll rights reserved.", "les\n* * *\n \n一二三四五六七八九十\nkept\n-----", "All rights reserved\n#####\n\n"]
+    out = {r["doc_id"]: r for r in op2_lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [out[i]["text"] for i in range(3)] == [texts[0], " \nkept\n-----", "#####\n\n"]
+    assert [out[i]["n_removed"] for i in range(3)] == [0, 3, 1]
+
+
 def test_mixing_meets_its_targets(docs, real):
     plan = op8_mixing.planned(real[1]).groupBy("source").agg(F.sum("n_tokens").alias("t"), F.sum(F.col("n_tokens") * F.col("copies")).alias("u"), F.max("weight").alias("w")).toPandas()
     assert plan.w.sum() == pytest.approx(1, abs=1e-6) and -(plan.w * np.log(plan.w)).sum() >= 0.99 * math.log(len(plan)) - 1e-6
