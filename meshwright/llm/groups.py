@@ -51,12 +51,12 @@ def _with_distance(grouped: DataFrame, pivot: str, name: str, known: DataFrame)
     return joined.withColumn(name, F.when(F.col("id") == F.col(pivot), F.lit(0.0)).otherwise(F.col(name)))
 
 
-def near_groups(members: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame], reach: float | Column, candidate: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+def near_groups(members: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame], reach: float | Column, candidate: Callable[[Column, Column], Column] | None = None, given: DataFrame | None = None) -> DataFrame:
     """(id, root) of ids in groups that near pairs of members (key, id) of one bucket connect.
 
     ``verify(pairs, ids)`` gives (a, b, distance, near) of pairs (a, b) of the given ids; distance is a metric, and
     ``near`` holds only for distances of at most ``reach`` (a number, or an expression of sizes ``size_1``, ``size_2`` that
-    members bring as ``size``); a test ``candidate`` of the ``sketch`` that both bring can rule pairs out before. The groups are those of all pairs in every bucket, found with far fewer comparisons:
+    members bring as ``size``); a test ``candidate`` of the ``sketch`` that both bring can rule pairs out before. ``given`` are pairs that are verified already (a, b, distance, near). The groups are those of all pairs in every bucket, found with far fewer comparisons:
 
     1. each member with its bucket's first one, the pivot;
     2. members outside the pivot's group: the one of them with the largest degree is a second pivot for the bucket;
@@ -65,7 +65,8 @@ def near_groups(members: DataFrame, verify: Callable[[DataFrame, DataFrame], Dat
     """
     shared = shared_buckets(members)
     ids = shared.select("id").distinct()
-    first = stored(verify(star_pairs(shared, "first", candidate), ids))
+    first = verify(star_pairs(shared, "first", candidate), ids)
+    first = stored(first if given is None else first.unionByName(given).dropDuplicates(["a", "b"]))
     links = first.where("near").select("a", "b")
 
     def grouped(roots: DataFrame, rows: DataFrame) -> DataFrame:

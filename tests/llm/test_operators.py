@@ -188,6 +188,33 @@ def test_short_lines_take_part(spark):
     assert [out[i]["n_removed"] for i in range(3)] == [0, 3, 1]
 
 
+def test_edited_lines_are_found(spark):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, row[0] = row[0], i + 1
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], min(row[j + 1] + 1, row[j] + 1, last + (x != y))
+        return row[-1]
+
+    r = np.random.default_rng(4)
+    word = lambda n: "".join(r.choice(list("abcdefghijklmnop"), n))
+    bases = [word(r.integers(5, 24)) for _ in range(60)]
+    short = sorted({"".join(r.choice(list("ab"), r.integers(1, 25))) for _ in range(150)} | {t for b in bases for t in (b, b[:-1], "z" + b[1:])})
+    frame = spark.createDataFrame(list(enumerate(short)), "id long, norm string")
+    pairs = {(p["a"], p["b"]) for p in op2_lines.compared(op2_lines.short_pairs(frame, 0.8), frame, 0.8).where("near").collect()}
+    assert pairs == {(a, b) for (a, x), (b, y) in itertools.combinations(enumerate(short), 2) if distance(x, y) <= math.floor(0.2 * max(len(x), len(y)) + 1e-9)}
+    assert len(pairs) > 60
+    texts = []
+    for n in (5, 6, 8, 10, 12, 20, 40) * 20:  # one word of five letters redrawn, or one letter of each of two words
+        line = [word(5) for _ in range(n)]
+        edited = list(line)
+        edited[r.integers(0, n)] = word(5)
+        texts += [" ".join(line), " ".join(edited), " ".join("q" + w[1:] if k < 2 else w for k, w in enumerate(line))]
+    found = op2_lines.removed_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert found.count() >= 0.98 * 2 * len(texts) / 3
+
+
 def test_mixing_meets_its_targets(docs, real):
     plan = op8_mixing.planned(real[1]).groupBy("source").agg(F.sum("n_tokens").alias("t"), F.sum(F.col("n_tokens") * F.col("copies")).alias("u"), F.max("weight").alias("w")).toPandas()
     assert plan.w.sum() == pytest.approx(1, abs=1e-6) and -(plan.w * np.log(plan.w)).sum() >= 0.99 * math.log(len(plan)) - 1e-6
