@@ -284,6 +284,14 @@ def test_language_model(docs, real):
     assert all(r["score"] >= r["base_score"] + r["n_tokens"] * math.log10(op4_lm.UNIGRAM) - 0.01 for r in rows)  # what the mixture guarantees
 
 
+def test_language_model_counts_every_word(real, monkeypatch):
+    scores = lambda: {r["doc_id"]: r for r in op4_lm.lm_scores(real[0]).collect()}
+    whole = scores()
+    monkeypatch.setattr(op4_lm, "FREQUENT", 20)
+    for i, r in scores().items():
+        assert r["n_known"] == whole[i]["n_known"] and r["score"] == pytest.approx(whole[i]["score"], abs=0.0021)
+
+
 def test_pipeline_keeps_its_contract(spark, real):
     import corpus_pipeline as p
 
