@@ -135,15 +135,21 @@ def fit(documents: DataFrame, labels: DataFrame) -> Network | float:
     return Network(np.concatenate(bags), np.concatenate([[0], np.cumsum([len(b) for b in bags])]), y)
 
 
-def quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score and predicted of every document."""
+def judged(documents: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """``key``, score and predicted of every document."""
     net = fit(documents, labels)
 
     def step(keys: list, texts: list[bytes]) -> dict:
-        return {"doc_id": keys, "score": np.full(len(keys), net) if isinstance(net, float) else np.round(net(*passage_features(texts)), 6)}
+        return {key: keys, "score": np.full(len(keys), net) if isinstance(net, float) else np.round(net(*passage_features(texts)), 6)}
+
+    scored = per_text(documents, key, "text", f"`{key}` {dict(documents.dtypes)[key]}, score double", step)
+    return scored.withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
-    scored = per_text(documents, "doc_id", "text", "doc_id long, score double", step)
-    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+def quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, held_out, score and predicted of every document."""
+    found = judged(documents.withColumn("doc_id", F.col("doc_id").cast("long")), labels, "doc_id")
+    return found.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,8 @@ Jaccard distance is a metric, so most of those are ruled out by distances that a
 
 Defined results: null and empty texts are equal texts and form one class; texts of fewer than five words have no
 shingles and are near to equal texts only; letter case of A-Z doesn't matter for shingles; very long texts are hashed
-whole; a class is named by its least doc_id; rows with an id given twice are joined by id, with each row kept; an empty
+whole; a class is named by its least doc_id; rows
+without an id are searched like others, and a class of such rows only has no name (null); rows with an id given twice are joined by id, with each row kept; an empty
 table gives an empty table; further columns are ignored.
 """
 
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwright.llm.common import Words, as_bytes, mix, per_text, spans, stored, table
@@ -133,23 +134,39 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     return packed.mapInArrow(run, "a long, b long, distance double, near boolean")
 
 
-def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and class_id of every row of ``documents`` (doc_id, text): the least doc_id of its group of near copies."""
-    signed = stored(signatures(documents))
-    classes = signed.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    kept = signed.where("size(bands) > 0").join(classes, "digest").where("doc_id = rep")
-    members = stored(kept.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key")).distinct())
+def text_id(text: str) -> Column:
+    """A 64-bit id of each distinct text; a null text is the empty one."""
+    return F.xxhash64(F.unhex(F.md5(F.coalesce(text, F.lit("")))))
+
+
+def _classes(documents: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, id) of every row, and :func:`near_classes`."""
+    signed = stored(signatures(documents).select("doc_id", F.xxhash64("digest").alias("id"), "bands"))
+    texts_of = signed.groupBy("id").agg(F.min("doc_id").alias("least"))
+    members = stored(signed.select("id", F.explode("bands").alias("key")).distinct())
     texts: list[DataFrame] = []
 
     def verify(pairs: DataFrame, ids: DataFrame) -> DataFrame:
         if not texts:  # only texts of documents that share a bucket are moved, and once
             wanted = ids.withColumnRenamed("id", "doc_id").hint("merge")
-            texts.append(stored(documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
+            texts.append(stored(documents.select(text_id("text").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
         return verified(pairs, texts[0], similarity)
 
     roots = near_groups(members, verify, 1 - similarity + 1e-9)
-    out = signed.select("doc_id", "digest").join(classes, "digest").join(roots.withColumnRenamed("id", "rep"), "rep", "left")
-    return out.select("doc_id", F.coalesce("root", "rep").alias("class_id"))
+    grouped = stored(texts_of.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    least = grouped.groupBy("root").agg(F.min("least").alias("class_id"))
+    return signed.select("doc_id", "id"), grouped.join(least, "root").select("id", "root", "class_id")
+
+
+def near_classes(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """id (:func:`text_id`), root and class_id of every distinct text: root is the id of one text of its group of near copies, class_id the group's least doc_id (null if no row of the group has one)."""
+    return _classes(documents, similarity)[1]
+
+
+def near_duplicates(documents: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and class_id of every row of ``documents`` (doc_id, text): the least doc_id of its group of near copies."""
+    rows, classes = _classes(documents, similarity)
+    return rows.join(classes, "id").select("doc_id", "class_id")
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

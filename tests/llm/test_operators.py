@@ -307,3 +307,16 @@ def test_pipeline_keeps_its_contract(spark, real):
         docs = after
     pieces = p.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").agg(F.sum("length").alias("n"), F.countDistinct("doc_id").alias("d")).first()
     assert pieces["d"] == docs.select("doc_id").distinct().count() and pieces["n"] > 0
+
+
+def test_pipeline_judges_rows_without_ids(spark, real):
+    import corpus_pipeline as p
+
+    near = " ".join(f"w{i}" for i in range(100))
+    rows = [(None, near), (None, near), (None, near + " tail"), (7, BASE), (None, BASE + " tail"), (None, "on its own"), (None, None)]
+    frame = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in p.near_stage(spark, frame, "").collect()]
+    assert sorted(map(repr, kept[:])) == sorted(map(repr, [(None, next(t for _, t in kept if t and t.startswith("w0"))), (7, BASE), (None, "on its own"), (None, None)]))
+    twice = real[0].unionByName(real[0].withColumn("doc_id", F.lit(None).cast("long"))).select(*p.COLUMNS)
+    after = p.quality_stage(spark, twice, "/root/testdata/sf0.001").groupBy("text").agg(F.count("doc_id").alias("a"), F.count("*").alias("n"))
+    assert after.count() > 0 and after.where("n <> 2 * a").isEmpty()
