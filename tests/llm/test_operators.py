@@ -320,3 +320,15 @@ def test_pipeline_judges_rows_without_ids(spark, real):
     twice = real[0].unionByName(real[0].withColumn("doc_id", F.lit(None).cast("long"))).select(*p.COLUMNS)
     after = p.quality_stage(spark, twice, "/root/testdata/sf0.001").groupBy("text").agg(F.count("doc_id").alias("a"), F.count("*").alias("n"))
     assert after.count() > 0 and after.where("n <> 2 * a").isEmpty()
+
+
+def test_language_model_learns_from_all_texts(spark, real, monkeypatch):
+    monkeypatch.setattr(op4_lm, "SAMPLE", 2)
+    docs = real[0].select("doc_id", "text").where("doc_id < 60").toPandas()
+    free = spark.createDataFrame(docs).where(~op4_lm.held_out("doc_id", 7, 2))
+    first = {r["doc_id"] for r in free.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2).collect()}
+    held = set(docs.doc_id) - {r["doc_id"] for r in free.collect()}
+    turned = docs.assign(text=[t if i in first | held else " ".join((t or "").split()[::-1]) for i, t in zip(docs.doc_id, docs.text, strict=True)])
+    one, two = ({r["doc_id"]: r for r in op4_lm.lm_scores(spark.createDataFrame(d)).collect()} for d in (docs, turned))
+    assert held and all(one[i]["base_score"] == two[i]["base_score"] for i in held)
+    assert any(one[i]["score"] != two[i]["score"] for i in held)  # word order of texts outside the sample
