@@ -34,8 +34,8 @@ def held_out(column: str, modulus: int, value: int) -> Column:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a session without that setting gets one beside the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-scratch"
+    """A new folder below ``spark.checkpoint.dir``; a session without that setting gets one inside its warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/.scratch"
     return f"{base.rstrip('/')}/mw-{uuid.uuid4().hex}"
 
 
@@ -43,7 +43,31 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back: lineage ends there, and a lost executor costs no recomputation."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def released(*frames: DataFrame) -> None:
+    """Deletes the files of tables made by :func:`stored` that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "stored_at", None)
+        if path:
+            jvm, context = df.sparkSession._jvm, df.sparkSession._jsc
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that begin with these, and that ``df`` has none of (letter case doesn't count)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

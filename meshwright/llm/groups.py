@@ -2,8 +2,8 @@
 
 Links are pairs of ids. Each round joins every vertex's neighbours to the smallest of them (large star, then small star,
 as published for map-reduce), until no link changes; every round is written to the shared folder, so its lineage ends
-there. A vertex with very many links is a key of an aggregation with partial sums and of a join that Spark can split;
-no group of links is ever gathered into a row.
+there, and the round before is deleted. A vertex with very many links is a key of an aggregation with partial sums and of
+a join that Spark can split; no group of links is ever gathered into a row.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import stored
+from meshwright.llm.common import released, stored
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
@@ -26,7 +26,9 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     shared = stored(members.join(sizes.hint("merge"), "key"))
     degrees = shared.groupBy("id").agg(F.sum("n").alias("degree"))
     ranked = stored(shared.drop("n").join(degrees.hint("merge"), "id"))
-    return stored(ranked.join(_leaders(ranked, "first").hint("merge"), "key"))
+    out = stored(ranked.join(_leaders(ranked, "first").hint("merge"), "key"))
+    released(shared, ranked)
+    return out
 
 
 def _leaders(rows: DataFrame, name: str) -> DataFrame:
@@ -51,52 +53,67 @@ def _with_distance(grouped: DataFrame, pivot: str, name: str, known: DataFrame)
     return joined.withColumn(name, F.when(F.col("id") == F.col(pivot), F.lit(0.0)).otherwise(F.col(name)))
 
 
-def near_groups(members: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame], reach: float | Column, candidate: Callable[[Column, Column], Column] | None = None, given: DataFrame | None = None) -> DataFrame:
+def near_groups(
+    members: DataFrame, verify: Callable[[DataFrame], DataFrame], reach: float | Column, candidate: Callable[[Column, Column], Column] | None = None,
+    bounds: tuple[Callable[[DataFrame], DataFrame], Callable[[Column, Column], Column]] | None = None,
+) -> DataFrame:
     """(id, root) of ids in groups that near pairs of members (key, id) of one bucket connect.
 
-    ``verify(pairs, ids)`` gives (a, b, distance, near) of pairs (a, b) of the given ids; distance is a metric, and
+    ``verify(pairs)`` gives (a, b, distance, near) of pairs (a, b) of ids; distance is a metric (null: not known), and
     ``near`` holds only for distances of at most ``reach`` (a number, or an expression of sizes ``size_1``, ``size_2`` that
-    members bring as ``size``); a test ``candidate`` of the ``sketch`` that both bring can rule pairs out before. ``given`` are pairs that are verified already (a, b, distance, near). The groups are those of all pairs in every bucket, found with far fewer comparisons:
+    members bring as ``size``); a test ``candidate`` of the ``sketch`` that both bring can rule pairs out before. The
+    groups are those of all pairs in every bucket, found with far fewer comparisons:
 
     1. each member with its bucket's first one, the pivot;
     2. members outside the pivot's group: the one of them with the largest degree is a second pivot for the bucket;
     3. members still outside, with members of other groups than theirs, unless their distances from a pivot differ by
-       more than ``reach``: by the triangle inequality those are no near pairs.
+       more than ``reach`` (by the triangle inequality those are no near pairs), or what they have in common with any other
+       group is too little. For the latter, ``bounds`` has two functions: the first gives (id, bound) of rows (id, root),
+       null for an id that can't be near to any id of another root; the second tells from two bounds whether their ids may be near.
     """
     shared = shared_buckets(members)
-    ids = shared.select("id").distinct()
-    first = verify(star_pairs(shared, "first", candidate), ids)
-    first = stored(first if given is None else first.unionByName(given).dropDuplicates(["a", "b"]))
-    links = first.where("near").select("a", "b")
+    first = stored(verify(star_pairs(shared, "first", candidate)))
 
     def grouped(roots: DataFrame, rows: DataFrame) -> DataFrame:
         rows = rows.join(roots.hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         main = roots.select(F.col("id").alias("first"), F.col("root").alias("main"))
         return rows.join(main.hint("merge"), "first", "left").withColumn("main", F.coalesce("main", "first"))
 
-    rows = stored(grouped(components(links), shared))
+    once = components(first.where("near").select("a", "b"))
+    rows = stored(grouped(once, shared))
     second = _leaders(rows.where("root <> main"), "second")
-    rows = stored(rows.drop("root", "main").join(second.hint("merge"), "key"))
-    pairs = star_pairs(rows, "second", candidate)
-    known = first.unionByName(stored(verify(pairs.join(first.hint("merge"), ["a", "b"], "left_anti"), ids)))
+    outside = stored(rows.drop("root", "main").join(second.hint("merge"), "key"))
+    pairs = star_pairs(outside, "second", candidate)
+    more = stored(verify(pairs.join(first.hint("merge"), ["a", "b"], "left_anti")))
+    known = first.unionByName(more)
     links = known.where("near").select("a", "b")
-    rows = _with_distance(_with_distance(grouped(components(links), rows), "first", "d1", known), "second", "d2", known)
-    rows = stored(rows)
-    side = lambda k: rows.select(*(F.col(c).alias(f"{c}_{k}") for c in ("key", "id", "root", "d1", "d2", *(c for c in ("size", "sketch") if c in rows.columns))))
-    outer = side(1).join(rows.where("root <> main").select(F.col("key").alias("key_1"), F.col("id").alias("id_1")), ["key_1", "id_1"], "left_semi")
+    twice = components(links)
+    placed = stored(_with_distance(_with_distance(grouped(twice, outside), "first", "d1", known), "second", "d2", known))
+    released(shared, rows, outside, once, twice)
+    left = placed
+    if bounds is not None:
+        apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+        limits = stored(bounds[0](placed.join(apart.hint("merge"), "key", "left_semi").select("id", "root").distinct()))
+        left = placed.join(limits.where("bound IS NOT NULL").hint("merge"), "id")
+    carried = ("key", "id", "root", "d1", "d2", *(c for c in ("size", "sketch", "bound") if c in left.columns))
+    side = lambda rows, k: rows.select(*(F.col(c).alias(f"{c}_{k}") for c in carried))
     possible = (F.col("key_1") == F.col("key_2")) & (F.col("root_1") != F.col("root_2"))
     for d in ("d1", "d2"):
         possible = possible & F.coalesce(F.abs(F.col(f"{d}_1") - F.col(f"{d}_2")) <= reach, F.lit(True))
     if candidate is not None:
         possible = possible & candidate(F.col("sketch_1"), F.col("sketch_2"))
-    inner = side(2)
-    left = outer.join(inner.hint("merge"), possible).select(F.least("id_1", "id_2").alias("a"), F.greatest("id_1", "id_2").alias("b")).distinct()
-    rest = verify(left.join(known.hint("merge"), ["a", "b"], "left_anti"), ids)
-    return components(links.unionByName(rest.where("near").select("a", "b")))
+    if bounds is not None:
+        possible = possible & bounds[1](F.col("bound_1"), F.col("bound_2"))
+    both = side(left.where("root <> main"), 1).join(side(left, 2).hint("merge"), possible)
+    pairs = both.select(F.least("id_1", "id_2").alias("a"), F.greatest("id_1", "id_2").alias("b")).distinct()
+    rest = stored(verify(pairs.join(known.hint("merge"), ["a", "b"], "left_anti")))
+    out = components(links.unionByName(rest.where("near").select("a", "b")))
+    released(first, more, placed, rest, *([limits] if bounds is not None else []))
+    return out
 
 
 def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """(id, root) of every vertex of ``links`` (a, b): root is the least id of its connected group."""
+    """(id, root) of every vertex of ``links`` (a, b), stored: root is the least id of its connected group."""
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     for _ in range(rounds):
@@ -106,11 +123,15 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
         large = large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        after = stored(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        released(edges)
+        edges = after
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             break
         before = now
     else:
         raise RuntimeError(f"links are not grouped after {rounds} rounds")
-    return edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+    out = edges.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
+    out.stored_at = edges.stored_at
+    return out
