@@ -25,9 +25,9 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = stored(members.join(sizes.hint("merge"), "key"))
     degrees = shared.groupBy("id").agg(F.sum("n").alias("degree"))
-    ranked = stored(shared.drop("n").join(degrees.hint("merge"), "id"))
+    ranked = shared.drop("n").join(degrees.hint("merge"), "id")
     out = stored(ranked.join(_leaders(ranked, "first").hint("merge"), "key"))
-    released(shared, ranked)
+    released(shared)
     return out
 
 
@@ -65,38 +65,41 @@ def near_groups(
     groups are those of all pairs in every bucket, found with far fewer comparisons:
 
     1. each member with its bucket's first one, the pivot;
-    2. members outside the pivot's group: the one of them with the largest degree is a second pivot for the bucket;
-    3. members still outside, with members of other groups than theirs, unless their distances from a pivot differ by
-       more than ``reach`` (by the triangle inequality those are no near pairs), or what they have in common with any other
-       group is too little. For the latter, ``bounds`` has two functions: the first gives (id, bound) of rows (id, root),
-       null for an id that can't be near to any id of another root; the second tells from two bounds whether their ids may be near.
+    2. members that aren't near to the pivot: the one of them with the largest degree is a second pivot for the bucket;
+    3. members of other groups than the pivot's, by the links so far, with members of other groups than theirs, unless
+       their distances from a pivot differ by more than ``reach`` (by the triangle inequality those are no near pairs), or
+       what they have in common with any other group is too little. For the latter, ``bounds`` has two functions: the first
+       gives (id, bound) of rows (id, root), null for an id that can't be near to any id of another root; the second tells
+       from two bounds whether their ids may be near. A pair comes from the least of the buckets that it shares.
     """
     shared = shared_buckets(members)
     first = stored(verify(star_pairs(shared, "first", candidate)))
-
-    def grouped(roots: DataFrame, rows: DataFrame) -> DataFrame:
-        rows = rows.join(roots.hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-        main = roots.select(F.col("id").alias("first"), F.col("root").alias("main"))
-        return rows.join(main.hint("merge"), "first", "left").withColumn("main", F.coalesce("main", "first"))
-
-    once = components(first.where("near").select("a", "b"))
-    rows = stored(grouped(once, shared))
-    second = _leaders(rows.where("root <> main"), "second")
-    outside = stored(rows.drop("root", "main").join(second.hint("merge"), "key"))
-    pairs = star_pairs(outside, "second", candidate)
+    near = first.where("near").select("a", "b", F.lit(True).alias("known"))
+    ends = (F.least("id", "first") == F.col("a")) & (F.greatest("id", "first") == F.col("b"))
+    outside = shared.where(F.col("id") != F.col("first")).join(near.hint("merge"), ends, "left").where("known IS NULL").select(*shared.columns)
+    second = _leaders(outside, "second")
+    apart = stored(outside.join(second.hint("merge"), "key"))
+    pairs = star_pairs(apart, "second", candidate)
     more = stored(verify(pairs.join(first.hint("merge"), ["a", "b"], "left_anti")))
     known = first.unionByName(more)
     links = known.where("near").select("a", "b")
-    twice = components(links)
-    placed = stored(_with_distance(_with_distance(grouped(twice, outside), "first", "d1", known), "second", "d2", known))
-    released(shared, rows, outside, once, twice)
-    left = placed
+    roots = components(links)
+    rows = shared.join(second.select("key", "second").hint("merge"), "key")
+    rows = rows.join(roots.hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    main = roots.select(F.col("id").alias("first"), F.col("root").alias("main"))
+    rows = rows.join(main.hint("merge"), "first", "left").withColumn("main", F.coalesce("main", "first"))
+    placed = stored(_with_distance(_with_distance(rows, "first", "d1", known), "second", "d2", known))
+    released(shared, apart)
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    left = stored(placed.join(mixed.hint("merge"), "key", "left_semi"))
+    carried, temporary = left, [left]
     if bounds is not None:
-        apart = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        limits = stored(bounds[0](placed.join(apart.hint("merge"), "key", "left_semi").select("id", "root").distinct()))
-        left = placed.join(limits.where("bound IS NOT NULL").hint("merge"), "id")
-    carried = ("key", "id", "root", "d1", "d2", *(c for c in ("size", "sketch", "bound") if c in left.columns))
-    side = lambda rows, k: rows.select(*(F.col(c).alias(f"{c}_{k}") for c in carried))
+        limits = stored(bounds[0](left.select("id", "root").distinct()))
+        carried, temporary = left.join(limits.where("bound IS NOT NULL").hint("merge"), "id"), [left, limits]
+    keys = carried.groupBy("id").agg(F.collect_list("key").alias("keys"))  # as many as an id has at most
+    carried = stored(carried.join(keys.hint("merge"), "id"))
+    names = ("key", "id", "root", "d1", "d2", "keys", *(c for c in ("size", "sketch", "bound") if c in carried.columns))
+    side = lambda rows, k: rows.select(*(F.col(c).alias(f"{c}_{k}") for c in names))
     possible = (F.col("key_1") == F.col("key_2")) & (F.col("root_1") != F.col("root_2"))
     for d in ("d1", "d2"):
         possible = possible & F.coalesce(F.abs(F.col(f"{d}_1") - F.col(f"{d}_2")) <= reach, F.lit(True))
@@ -104,11 +107,17 @@ def near_groups(
         possible = possible & candidate(F.col("sketch_1"), F.col("sketch_2"))
     if bounds is not None:
         possible = possible & bounds[1](F.col("bound_1"), F.col("bound_2"))
-    both = side(left.where("root <> main"), 1).join(side(left, 2).hint("merge"), possible)
+    possible = possible & (F.col("key_1") == F.array_min(F.array_intersect("keys_1", "keys_2")))
+    both = side(carried.where("root <> main"), 1).join(side(carried, 2).hint("merge"), possible)
     pairs = both.select(F.least("id_1", "id_2").alias("a"), F.greatest("id_1", "id_2").alias("b")).distinct()
     rest = stored(verify(pairs.join(known.hint("merge"), ["a", "b"], "left_anti")))
-    out = components(links.unionByName(rest.where("near").select("a", "b")))
-    released(first, more, placed, rest, *([limits] if bounds is not None else []))
+    released(placed, carried, *temporary)
+    late = rest.where("near").select("a", "b")
+    if late.isEmpty():
+        released(first, more, rest)
+        return roots
+    out = components(links.unionByName(late))
+    released(first, more, rest, roots)
     return out
 
 

@@ -10,13 +10,16 @@ registers give the buckets; pairs are verified by the exact multiset overlap (su
 
 Texts that are equal are one class from the start, and only one document of each goes on. Within a bucket, each member is
 compared with the one that has most neighbours, and then only pairs that may still join two groups are compared; weighted
-Jaccard distance is a metric, so most of those are ruled out by distances that are known (:func:`groups.near_groups`).
+Jaccard distance is a metric, so most of those are ruled out by distances that are known (:func:`groups.near_groups`). Large
+groups of copies leave many that the metric doesn't rule out; there, each text's multiset of shingles that texts of other
+groups have as well bounds its overlap with any of them (:func:`common_mass`), so texts with too many shingles of their
+own are out without a comparison. The bound is exact: no link is lost.
 
 Defined results: null and empty texts are equal texts and form one class; texts of fewer than five words have no
 shingles and are near to equal texts only; letter case of A-Z doesn't matter for shingles; very long texts are hashed
-whole; a class is named by its least doc_id; rows
-without an id are searched like others, and a class of such rows only has no name (null); rows with an id given twice are joined by id, with each row kept; an empty
-table gives an empty table; further columns are ignored.
+whole; a class is named by its least doc_id; rows without an id are searched like others, and a class of such rows only
+has no name (null); rows that share an id are judged each by its own text, whatever their order; an empty table gives an
+empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import Words, as_bytes, mix, per_text, spans, stored, table
+from meshwright.llm.common import Words, as_bytes, mix, per_text, released, spans, stored, table
 from meshwright.llm.groups import near_groups
 
 SHINGLE, BANDS, ROWS, SIMILARITY, STEP = 5, 21, 6, 0.8, 3 << 20
@@ -139,21 +142,54 @@ def text_id(text: str) -> Column:
     return F.xxhash64(F.unhex(F.md5(F.coalesce(text, F.lit("")))))
 
 
+def common_mass(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(id, bound) of rows (id, root): a struct of a text's number of shingles and of how many of those texts of another root have too, at most.
+
+    No text of another root overlaps by more than the latter; the bound is null where that alone rules out the similarity. texts: doc_id, text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, roots, bodies = batch.column(0).to_numpy(), batch.column(1).to_numpy(), as_bytes(batch.column(2))
+            for lo, hi in spans(bodies, STEP):
+                text, shingle, count = shingle_counts(Words([t.lower() for t in bodies[lo:hi]]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][text]), pa.array(roots[lo:hi][text]), pa.array(shingle.view(np.int64)), pa.array(count)], names=["id", "root", "shingle", "n"])
+
+    held = rows.join(texts.select(F.col("doc_id").alias("id"), "text").hint("merge"), "id").select("id", "root", "text")
+    counts = stored(held.mapInArrow(run, "id long, root long, shingle long, n long"))
+    spread = counts.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
+    shared = counts.join(spread.hint("merge"), "shingle").groupBy("id").agg(F.sum("n").alias("shared"))
+    sizes = counts.groupBy("id").agg(F.sum("n").alias("size")).join(shared.hint("merge"), "id", "left")
+    bound = F.struct("size", F.coalesce("shared", F.lit(0).cast("long")).alias("shared"))
+    out = stored(sizes.select("id", F.when(F.col("shared") >= similarity * F.col("size") - 1e-6, bound).alias("bound")))
+    released(counts)
+    return out
+
+
+def may_overlap(similarity: float):  # noqa: ANN201
+    """The test of two bounds (size, shared): whether their texts can reach the similarity."""
+
+    def test(a: Column, b: Column) -> Column:
+        most = F.least(a["shared"], b["shared"])
+        return most >= similarity * (a["size"] + b["size"] - most) - 1e-6
+
+    return test
+
+
 def _classes(documents: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(doc_id, id) of every row, and :func:`near_classes`."""
     signed = stored(signatures(documents).select("doc_id", F.xxhash64("digest").alias("id"), "bands"))
     texts_of = signed.groupBy("id").agg(F.min("doc_id").alias("least"))
     members = stored(signed.select("id", F.explode("bands").alias("key")).distinct())
-    texts: list[DataFrame] = []
-
-    def verify(pairs: DataFrame, ids: DataFrame) -> DataFrame:
-        if not texts:  # only texts of documents that share a bucket are moved, and once
-            wanted = ids.withColumnRenamed("id", "doc_id").hint("merge")
-            texts.append(stored(documents.select(text_id("text").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])))
-        return verified(pairs, texts[0], similarity)
-
-    roots = near_groups(members, verify, 1 - similarity + 1e-9)
+    wanted = members.join(members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key").hint("merge"), "key", "left_semi")
+    wanted = wanted.select(F.col("id").alias("doc_id")).distinct().hint("merge")
+    # only texts of documents that share a bucket are moved, and once
+    texts = stored(documents.select(text_id("text").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    bounds = (lambda rows: common_mass(rows, texts, similarity), may_overlap(similarity))
+    roots = near_groups(members, lambda pairs: verified(pairs, texts, similarity), 1 - similarity + 1e-9, bounds=bounds)
+    released(members, texts)
     grouped = stored(texts_of.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    released(roots)
     least = grouped.groupBy("root").agg(F.min("least").alias("class_id"))
     return signed.select("doc_id", "id"), grouped.join(least, "root").select("id", "root", "class_id")
 
