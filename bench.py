@@ -28,7 +28,7 @@ def main() -> None:
     for n in (1_000, 10_000, 100_000):  # the same triangles on ever finer grids: time follows perimeter and rows, not cells
         grid = Grid(0.0, 0.0, 60.0, 60.0, n, n)
         runs[f"approx_{n}"] = lambda g=grid: burn_segments(synth.triangles(spark, sf_dir), None, g, "approx").runs
-        if n <= 10_000:
+        if n <= 100_000:
             runs[f"coverage_{n}"] = lambda g=grid: covered_area(burn_segments(synth.triangles(spark, sf_dir), None, g))
     for name, make in runs.items():
         began = time.time()

@@ -17,6 +17,7 @@ from meshwright.sources.wkb import from_sequence, from_wkb
 
 MODES = ("coverage", "approx")
 TABLES = ("runs", "edges", "lines", "points")
+MOST_NOTES = 100
 
 
 @dataclass(frozen=True)
@@ -30,6 +31,10 @@ class BurnResult:
     points: DataFrame
     notes: DataFrame
     source: DataFrame | None = None
+    #: row, col_start, col_end, share, id of runs and edges together, of coverage burns that weren't changed since.
+    cells: DataFrame | None = None
+    #: kind of the geometries, where that is known without a burn.
+    kinds: DataFrame | None = None
 
     @property
     def bounds(self) -> tuple[float, float, float, float]:
@@ -43,7 +48,10 @@ class BurnResult:
         return {n: getattr(self, n) for n in TABLES}
 
     def with_tables(self, grid: Grid | None = None, **tables: DataFrame) -> BurnResult:
-        return BurnResult(grid or self.grid, **({n: getattr(self, n) for n in (*TABLES, "notes", "source")} | tables))
+        kept = {n: getattr(self, n) for n in (*TABLES, "notes", "source", "cells", "kinds")}
+        if {"runs", "edges"} & tables.keys():
+            kept["cells"] = None
+        return BurnResult(grid or self.grid, **(kept | tables))
 
     def only(self, ids: list | DataFrame) -> BurnResult:
         """The rows of some ids: a list, or a DataFrame with a column id (a semi-join)."""
@@ -60,9 +68,12 @@ class BurnResult:
             self.source.unpersist()
 
     def warn(self) -> None:
-        """Raises a warning for each note; this is a job."""
-        for r in self.notes.orderBy("id").collect():
+        """Raises a warning for each of the first ``MOST_NOTES`` notes, and one for the number of the others; these are two jobs."""
+        n = self.notes.count()
+        for r in self.notes.orderBy("id").limit(MOST_NOTES).collect():
             warnings.warn(f"geometry {r['id']}: {r['message']}", stacklevel=2)
+        if n > MOST_NOTES:
+            warnings.warn(f"{n - MOST_NOTES} more geometries have notes", stacklevel=2)
 
 
 def _checked(mode: str) -> str:
@@ -76,12 +87,14 @@ def burn_segments(rows: DataFrame, points: DataFrame | None, grid: Grid, mode: s
     _checked(mode)
     spark, kind = rows.sparkSession, dict(rows.dtypes)["id"]
     empty = lambda schema: spark.createDataFrame([], schema)
+    both = None
     if mode == "coverage":
-        runs, edges = coverage(rows, grid)
+        runs, edges, both = coverage(rows, grid)
     else:
         runs, edges = centres(rows, grid), empty(f"row int, col int, fraction double, id {kind}")
+    kinds = source.where("error IS NULL").select("kind") if source is not None else rows.select("kind") if points is None else None
     cells = point_cells(points, grid) if points is not None else empty(f"row int, col int, id {kind}")
-    return BurnResult(grid, runs, edges, line_cells(rows, grid), cells, notes if notes is not None else empty(f"id {kind}, message string"), source)
+    return BurnResult(grid, runs, edges, line_cells(rows, grid), cells, notes if notes is not None else empty(f"id {kind}, message string"), source, both, kinds)
 
 
 def coordinates(geometries: DataFrame) -> DataFrame:

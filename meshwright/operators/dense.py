@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ def materialize(
 ) -> DataFrame:
     """row, col, value of the cells that polygons touch. values: id, value (default: the id); boundary cells count whole from a share of ``threshold``, or by their share ("fraction").
 
-    check: refuse lines and points (two small jobs), as their measures are no shares.
+    check: refuse lines and points (one job over the kinds of the input), as their measures are no shares.
     """
     if fn not in FUNCTIONS:
         raise ValueError(f"fn must be one of {', '.join(FUNCTIONS)}")
@@ -100,7 +101,8 @@ def from_dense(raster: DataFrame, id_column: str = "value") -> DataFrame:
 def tiled(r: BurnResult, size: int = 2048) -> DataFrame:
     """tile_row, tile_col, rank, row, col_start, col_end, id, measure: all tables with runs cut at the borders of tiles. Empty tiles have no rows."""
     at = lambda c: F.floor((F.col(c) - 1) / size).cast("int")
-    runs = r.runs.withColumn("tile_col", F.explode(F.sequence(at("col_start"), at("col_end"))))
+    whole = r.runs if r.cells is None else r.cells.where("share = 1")
+    runs = whole.withColumn("tile_col", F.explode(F.sequence(at("col_start"), at("col_end"))))
     runs = runs.select(
         tile_of(F.col("row"), size).alias("tile_row"), "tile_col", F.lit(0).alias("rank"), "row", F.greatest(F.col("col_start"), F.col("tile_col") * size + 1).alias("col_start"),
         F.least(F.col("col_end"), (F.col("tile_col") + 1) * size).alias("col_end"), "id", F.lit(1.0).alias("measure"),
@@ -124,15 +126,12 @@ def write_tiles(r: BurnResult, path: str, size: int = 2048) -> None:
 def dense_tiles(r: BurnResult, size: int = 256) -> DataFrame:
     """tile_row, tile_col, values: the ids written last in each tile that has anything, as a row-major array of size * size doubles (NaN where there is none)."""
 
-    def block(key: tuple, rows):  # noqa: ANN001, ANN202
-        import pandas as pd
-
+    def block(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         out = np.full((size, size), np.nan)
-        rows = rows.sort_values(["rank", "id"], kind="stable")
-        for row, a, b, i in zip(rows["row"], rows["col_start"], rows["col_end"], rows["id"], strict=True):
+        rows = rows.sort_by([("rank", "ascending"), ("id", "ascending")])
+        for row, a, b, i in zip(*(rows[c].to_pylist() for c in ("row", "col_start", "col_end", "id")), strict=True):
             out[(row - 1) % size, (a - 1) % size : (b - 1) % size + 1] = i
-        return pd.DataFrame({"tile_row": [key[0]], "tile_col": [key[1]], "values": [out.ravel()]})
-
-    return tiled(r, size).groupBy("tile_row", "tile_col").applyInPandas(block, "tile_row int, tile_col int, values array<double>")
-
+        values = pa.ListArray.from_arrays(pa.array([0, size * size], pa.int32()), pa.array(out.ravel()))
+        return pa.table({"tile_row": pa.array([key[0].as_py()], pa.int32()), "tile_col": pa.array([key[1].as_py()], pa.int32()), "values": values})
 
+    return tiled(r, size).groupBy("tile_row", "tile_col").applyInArrow(block, "tile_row int, tile_col int, values array<double>")

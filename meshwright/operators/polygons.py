@@ -2,7 +2,7 @@
 
 Coverage sums two numbers a cell over the pieces of a ring's boundary: how far the piece runs down (cover) and the area
 right of it inside the cell (area). By Green's theorem the running sum of covers left of a cell plus its area is the share
-of the cell inside the polygon. One exchange by (id, part, row) serves the aggregation and both windows.
+of the cell inside the polygon. Pieces are dealt out by (id, part, row) once, which serves the aggregation and all windows.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def coverage_cells(segments: DataFrame, grid: Grid) -> DataFrame:
     middle = F.col("u0") + du * (F.col("t0") + F.col("t1")) / 2
     share = F.when(F.col("col") < 0, F.lit(1.0)).when(F.col("col") >= grid.ncol, F.lit(0.0)).otherwise(1 - (middle - F.col("col")))
     cells = pieces.select("id", "part", "row", "col", cover.alias("cover"), (cover * share).alias("area"))
-    cells = cells.groupBy(*KEYS, "col").agg(F.sum("cover").alias("cover"), F.sum("area").alias("area"))
+    cells = cells.repartition(*KEYS).groupBy(*KEYS, "col").agg(F.sum("cover").alias("cover"), F.sum("area").alias("area"))
     order = Window.partitionBy(*KEYS).orderBy("col")
     cells = cells.withColumn("after", F.sum("cover").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     cells = cells.withColumn("next", F.coalesce(F.lead("col").over(order), F.lit(grid.ncol)))
@@ -44,18 +44,24 @@ def coverage_cells(segments: DataFrame, grid: Grid) -> DataFrame:
     return both.where(f"col_start <= col_end AND col_start >= 0 AND col_end < {grid.ncol} AND share > {TOLERANCE}")
 
 
-def coverage(segments: DataFrame, grid: Grid) -> tuple[DataFrame, DataFrame]:
-    """(runs, edges) of polygon segments: cells wholly inside as maximal runs, others with the share of their area."""
+def coverage(segments: DataFrame, grid: Grid) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(runs, edges, cells) of polygon segments: cells wholly inside as maximal runs, others with the share of their area, and both in one table (:func:`spans`)."""
     cells = coverage_cells(segments, grid)
     runs = merged_runs(cells.where(f"share >= {1 - TOLERANCE}"))
     part = explode_range(cells.where(f"share < {1 - TOLERANCE}"), "col", F.col("col_start"), F.col("col_end"))
     edges = part.select((F.col("row") + 1).alias("row"), (F.col("col") + 1).cast("int").alias("col"), F.col("share").alias("fraction"), "id")
-    return runs, edges
+    return runs, edges, spans(cells)
+
+
+def spans(cells: DataFrame) -> DataFrame:
+    """row, col_start, col_end, share, id (1-based) of cells from :func:`coverage_cells`: what needs runs and edges together reads the burn once."""
+    share = F.when(F.col("share") >= 1 - TOLERANCE, F.lit(1.0)).otherwise(F.col("share"))
+    return cells.select((F.col("row") + 1).alias("row"), (F.col("col_start") + 1).alias("col_start"), (F.col("col_end") + 1).alias("col_end"), share.alias("share"), "id")
 
 
 def centres(segments: DataFrame, grid: Grid) -> DataFrame:
     """Runs of the cells whose centres have a winding number other than zero. A centre on a boundary counts at its left and upper side."""
-    rows = segments.where("kind = 'polygon' AND y0 <> y1")
+    rows = segments.where("kind = 'polygon' AND y0 <> y1").where(F.least("x0", "x1") <= grid.xmax)
     below, above = F.least("y0", "y1"), F.greatest("y0", "y1")
     first = F.ceil((grid.ymax - above) / grid.dy - 0.5 - 1e-10)
     last = F.ceil((grid.ymax - below) / grid.dy - 0.5 - 1e-10) - 1
@@ -67,8 +73,11 @@ def centres(segments: DataFrame, grid: Grid) -> DataFrame:
     begins = F.when(F.col("x") <= grid.xmin + (near + 0.5) * grid.dx, near).otherwise(near + 1)
     begins = F.least(F.greatest(begins, F.lit(0)), F.lit(grid.ncol)).cast("int")
     starts = rows.select("id", "part", F.col("row").cast("int").alias("row"), begins.alias("col_start"), "down")
-    starts = starts.groupBy(*KEYS, "col_start").agg(F.sum("down").alias("down"))
+    starts = starts.repartition(*KEYS).groupBy(*KEYS, "col_start").agg(F.sum("down").alias("down"))
     order = Window.partitionBy(*KEYS).orderBy("col_start")
     spans = starts.withColumn("winding", F.sum("down").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     spans = spans.withColumn("col_end", F.coalesce(F.lead("col_start").over(order), F.lit(grid.ncol)) - 1)
-    return merged_runs(spans.where("winding <> 0 AND col_start <= col_end").select(*KEYS, "col_start", "col_end"))
+    # spans follow one another without gaps, so a run ends where the winding number is zero
+    spans = spans.withColumn("island", F.sum(F.when(F.col("winding") == 0, 1).otherwise(0)).over(order))
+    runs = spans.where("winding <> 0 AND col_start <= col_end").groupBy(*KEYS, "island").agg(F.min("col_start").alias("col_start"), F.max("col_end").alias("col_end"))
+    return runs.select((F.col("row") + 1).alias("row"), (F.col("col_start") + 1).alias("col_start"), (F.col("col_end") + 1).alias("col_end"), "id")

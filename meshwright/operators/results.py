@@ -15,8 +15,14 @@ _KIND_TABLES = {"polygon": ("runs", "edges"), "line": ("lines",), "point": ("poi
 
 
 def kinds_present(r: BurnResult) -> list[str]:
-    """The geometry kinds with any row; a small job for each table, which stops at the first row."""
-    return [k for k, names in _KIND_TABLES.items() if any(not getattr(r, n).isEmpty() for n in names)]
+    """The geometry kinds with any row. Polygons alone need one job over the kinds of the input; else the tables of the kinds there are get burnt."""
+    kinds = list(_KIND_TABLES)
+    if r.kinds is not None:
+        found = {k["kind"] for k in r.kinds.where(F.col("kind").isin(*_KIND_TABLES)).distinct().collect()}  # three at most
+        kinds = [k for k in kinds if k in found]
+        if kinds == ["polygon"]:
+            return kinds
+    return [k for k in kinds if any(not getattr(r, n).isEmpty() for n in _KIND_TABLES[k])]
 
 
 def check_single_kind(r: BurnResult, what: str) -> None:
@@ -59,8 +65,13 @@ def to_coo(r: BurnResult, kind: str = "polygon") -> DataFrame:
 def measures(r: BurnResult, expand: bool = True) -> DataFrame:
     """rank, row, col, id, measure of all tables in write order (runs, edges, lines, points)."""
     cell = lambda t, k, m: t.select(F.lit(k).alias("rank"), "row", "col", "id", m.alias("measure"))
-    tables = [cell(expand_runs(r.runs), 0, F.lit(1.0))] if expand else []
-    tables += [cell(r.edges, 1, F.col("fraction")), cell(r.lines, 2, F.col("length")), cell(r.points, 3, F.lit(1.0))]
+    if expand and r.cells is not None:
+        each = r.cells.select("row", "id", "share", F.explode(F.sequence("col_start", "col_end")).alias("col"))
+        tables = [each.select(F.when(F.col("share") == 1, 0).otherwise(1).alias("rank"), "row", F.col("col").cast("int").alias("col"), "id", F.col("share").alias("measure"))]
+    else:
+        tables = [cell(expand_runs(r.runs), 0, F.lit(1.0))] if expand else []
+        tables += [cell(r.edges, 1, F.col("fraction"))]
+    tables += [cell(r.lines, 2, F.col("length")), cell(r.points, 3, F.lit(1.0))]
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)
@@ -98,8 +109,11 @@ def extract(r: BurnResult, queries: DataFrame, fun: str = "id", check: bool = Tr
 
 def covered_area(r: BurnResult, by_id: bool = False) -> DataFrame:
     """covered_area, in all or for each id, from runs and edges."""
-    full = r.runs.select("id", (F.col("col_end") - F.col("col_start") + 1).cast("double").alias("cells"))
-    both = full.unionByName(r.edges.select("id", F.col("fraction").alias("cells")))
+    many = (F.col("col_end") - F.col("col_start") + 1).cast("double")
+    if r.cells is not None:
+        both = r.cells.select("id", (many * F.col("share")).alias("cells"))
+    else:
+        both = r.runs.select("id", many.alias("cells")).unionByName(r.edges.select("id", F.col("fraction").alias("cells")))
     total = (F.lit(r.grid.cell_area) * F.coalesce(F.sum("cells"), F.lit(0.0))).alias("covered_area")
     return both.groupBy("id").agg(total) if by_id else both.agg(total)
 

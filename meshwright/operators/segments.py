@@ -25,6 +25,11 @@ def segments(geometries: DataFrame) -> DataFrame:
     parts = geometries.where(F.col("kind").isin("polygon", "line")).select("id", "kind", F.posexplode("parts").alias("part", "rings"))
     parts = parts.where((F.col("kind") == "line") | (F.size(F.element_at("rings", 1)) >= 4))
     rings = parts.select("id", "kind", "part", F.posexplode("rings").alias("ring", "c")).where(F.size("c") >= F.when(F.col("kind") == "line", 2).otherwise(4))
+    return ring_segments(rings)
+
+
+def ring_segments(rings: DataFrame) -> DataFrame:
+    """Weighted segments of rings and lines (id, kind, part, ring, c), c an array of x, y: the turn of a ring is taken from the array, before it is exploded."""
     turn = F.when(signed_area(F.col("c")) > 0, 1).otherwise(-1) * F.when(F.col("ring") == 0, 1).otherwise(-1)
     n = F.size("c")
     pairs = F.arrays_zip(F.slice("c", F.lit(1), n - 1).alias("a"), F.slice("c", F.lit(2), n - 1).alias("b"))
@@ -61,8 +66,8 @@ def on_grid(rows: DataFrame, grid: Grid) -> DataFrame:
 
 def explode_range(rows: DataFrame, name: str, low: Column, high: Column) -> DataFrame:
     """One row for each whole number from ``low`` to ``high``; none if low is above high (a bare sequence would run downward)."""
-    lo, hi = low.cast("long"), high.cast("long")
-    return rows.withColumn("lo__", lo).withColumn("hi__", hi).where("lo__ <= hi__").withColumn(name, F.explode(F.sequence("lo__", "hi__"))).drop("lo__", "hi__")
+    bounded = rows.withColumns({"lo__": low.cast("long"), "hi__": high.cast("long")})
+    return bounded.withColumn(name, F.explode(F.when(F.col("lo__") <= F.col("hi__"), F.sequence("lo__", "hi__")))).drop("lo__", "hi__")
 
 
 def cut(rows: DataFrame, grid: Grid, beside: bool) -> DataFrame:
@@ -76,7 +81,8 @@ def cut(rows: DataFrame, grid: Grid, beside: bool) -> DataFrame:
     flat = F.col("v0") == F.col("v1")
     first = F.when(flat & (low == grid.nrow), F.lit(float(grid.nrow - 1))).otherwise(F.floor(low))
     last = F.when(flat, first).otherwise(F.ceil(high) - 1)
-    rows = explode_range(rows.where((low <= grid.nrow) & (high >= 0)), "row", F.greatest(first, F.lit(0)), F.least(last, F.lit(grid.nrow - 1)))
+    near = (low <= grid.nrow) & (high >= 0) & (F.least("u0", "u1") <= grid.ncol)  # what is right of the grid adds nothing
+    rows = explode_range(rows.where(near), "row", F.greatest(first, F.lit(0)), F.least(last, F.lit(grid.nrow - 1)))
     at = lambda k, start, d: (k - F.col(start)) / d
     one, two = at(F.col("row"), "v0", dv), at(F.col("row") + 1, "v0", dv)
     rows = rows.withColumn("ta", F.when(flat, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(one, two))))

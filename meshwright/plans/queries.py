@@ -121,11 +121,17 @@ def _(spark, d):  # noqa: ANN001, ANN202
     return results.expand_runs(burn_segments(synth.triangles(spark, d), None, G, "approx").runs)
 
 
-@query("tri_covered_area", f"SELECT id, CAST(floor(abs((bx - ax) * (cy - ay) - (cx - ax) * (bz - ay)) / 2 * 100 + 0.26) AS BIGINT) AS hundredths FROM ({synth.TRIANGLES}) AS t WHERE least(ay, bz, cy) >= 0 AND greatest(ay, bz, cy) <= 60")
+def _below(t: str) -> str:
+    """SQL: the area of a triangle (area a, corners' y sorted as p, q, r) below the height t."""
+    low = f"a * ({t} - p) * ({t} - p) / ((q - p) * (r - p))"
+    high = f"a - a * (r - {t}) * (r - {t}) / ((r - q) * (r - p))"
+    return f"CASE WHEN {t} <= p THEN 0e0 WHEN {t} >= r THEN a WHEN {t} <= q THEN {low} ELSE {high} END"
+
+
+@query("tri_covered_area", f"""WITH t AS (SELECT id, abs((bx - ax) * (cy - ay) - (cx - ax) * (bz - ay)) / 2 AS a, least(ay, bz, cy) AS p, ay + bz + cy - least(ay, bz, cy) - greatest(ay, bz, cy) AS q, greatest(ay, bz, cy) AS r FROM ({synth.TRIANGLES}) AS s)
+SELECT id, CAST(floor((({_below('60e0')}) - ({_below('0e0')})) * 100 + 0.26) AS BIGINT) AS hundredths FROM t WHERE a > 0""")
 def _(spark, d):  # noqa: ANN001, ANN202
-    rows = synth.triangles(spark, d)
-    whole = rows.groupBy("id").agg(F.min("y0").alias("lo"), F.max("y0").alias("hi")).where("lo >= 0 AND hi <= 60").select("id")
-    area = results.covered_area(burn_segments(rows, None, G), by_id=True).join(whole, "id")
+    area = results.covered_area(burn_segments(synth.triangles(spark, d), None, G), by_id=True)
     return area.select("id", F.floor(F.col("covered_area") * 100 + 0.26).alias("hundredths"))
 
 
@@ -228,10 +234,10 @@ def _(spark, d):  # noqa: ANN001, ANN202
     return results.summary(rect_burn(spark, d)).withColumn("sparsity", F.round("sparsity", 9))
 
 
-@query("zonal_weighted_mean", f"{_COVER}, ras AS ({synth.RASTER}) SELECT id, floor((sum(m)) * 1e5 + 0.26) / 1e5 AS weight, round(sum(m * value) / sum(m), 3) AS mean FROM meas JOIN ras ON ras.row = meas.row AND ras.col = meas.col GROUP BY id")
+@query("zonal_weighted_mean", f"{_COVER}, ras AS ({synth.RASTER}) SELECT id, floor((sum(m)) * 1e5 + 0.26) / 1e5 AS weight, floor(sum(m * value) / sum(m) * 1e3 + 0.26) / 1e3 AS mean FROM meas JOIN ras ON ras.row = meas.row AND ras.col = meas.col GROUP BY id")
 def _(spark, d):  # noqa: ANN001, ANN202
     out = results.zonal(rect_burn(spark, d), synth.raster(spark, d))
-    return out.select("id", settled("weight", 5).alias("weight"), F.round("mean", 3).alias("mean"))
+    return out.select("id", settled("weight", 5).alias("weight"), settled("mean", 3).alias("mean"))
 
 
 @query("overlay_cells", f"""{_COVER}, pc AS (SELECT {_CELL}, id AS id_2 FROM ({synth.POINTS}) AS p WHERE x BETWEEN 0 AND 60 AND y BETWEEN 0 AND 60)
@@ -294,3 +300,65 @@ def _(spark, d):  # noqa: ANN001, ANN202
 @query("notes", "SELECT 1 AS id, 'WKB too short' AS message UNION ALL SELECT 4, 'GeometryCollection is not supported: its members measure different things; split it by kind'")
 def _(spark, d):  # noqa: ANN001, ANN202
     return _mixed(spark).notes
+
+
+# ---- backgrounds, sums and coordinate lists of lines and points, geometry beyond all sides of the grid, forms of WKB ----
+_OVER = {"first": "300e0", "last": _BY["last"], "min": "least(300e0, min(v))", "max": "greatest(300e0, max(v))", "any": "1e0"}
+
+for _fn, _sql in _OVER.items():
+
+    @query(f"background_{_fn}", f"{_WRITE} SELECT row, col, {_sql} AS value FROM wr GROUP BY row, col")
+    def _(spark, d, fn=_fn):  # noqa: ANN001, ANN202
+        return dense.materialize(rect_burn(spark, d), _values(spark, d), fn, threshold=0.503, background=300.0)
+
+
+@query("chunk_sum_lines", f"{_CLIP} SELECT row, col, round(sum(length), 5) AS value FROM piece WHERE length > 0.000001 GROUP BY row, col")
+def _(spark, d):  # noqa: ANN001, ANN202
+    long = line_burn(spark, d)
+    long = long.with_tables(lines=long.lines.where("length > 0.000001"))
+    return dense.materialize_chunk(long, "sum").withColumn("value", F.round("value", 5))
+
+
+@query("chunk_sum_points", f"SELECT row, col, CAST(count(*) AS DOUBLE) AS value FROM (SELECT {_CELL} FROM ({synth.POINTS}) AS p WHERE x BETWEEN 0 AND 60 AND y BETWEEN 0 AND 60) AS q GROUP BY row, col")
+def _(spark, d):  # noqa: ANN001, ANN202
+    return dense.materialize_chunk(point_burn(spark, d), "sum", check=False)
+
+
+@query("to_coo_lines", f"{_CLIP} SELECT row - 1 AS row, col - 1 AS col, round(length, 6) AS val FROM piece WHERE length > 0.000001")
+def _(spark, d):  # noqa: ANN001, ANN202
+    return results.to_coo(line_burn(spark, d), "line").where("val > 0.000001").withColumn("val", F.round("val", 6))
+
+
+@query("to_coo_points", f"SELECT row - 1 AS row, col - 1 AS col, 1e0 AS val FROM (SELECT {_CELL} FROM ({synth.POINTS}) AS p WHERE x BETWEEN 0 AND 60 AND y BETWEEN 0 AND 60) AS q")
+def _(spark, d):  # noqa: ANN001, ANN202
+    return results.to_coo(point_burn(spark, d), "point")
+
+
+#: The same cells, but only those of a window: geometry reaches beyond it on all sides.
+SMALL = Grid(12.0, 10.0, 36.0, 42.0, 16, 16)
+_SMALL = "rr AS (SELECT CAST(i AS INT) AS row, 42 - (i - 0.5e0) * 2 AS ym, 42 - i * 2e0 AS yl, 42 - (i - 1) * 2e0 AS yh FROM range(1, 17) AS t(i)), cc AS (SELECT CAST(i AS INT) AS col, 12 + (i - 0.5e0) * 1.5e0 AS xm, 12 + (i - 1) * 1.5e0 AS xl, 12 + i * 1.5e0 AS xh FROM range(1, 17) AS t(i))"
+
+
+@query("beyond_coverage", f"{_COVER.replace(_LINES, _SMALL)} SELECT rank, row, col, id, floor((m) * 1e6 + 0.26) / 1e6 AS measure FROM meas")
+def _(spark, d):  # noqa: ANN001, ANN202
+    return results.measures(burn_segments(synth.rectangles(spark, d), None, SMALL)).withColumn("measure", settled("measure", 6))
+
+
+@query("beyond_approx", f"{_APPROX.replace(_LINES, _SMALL)} SELECT row, CAST(col_start AS INT) AS col_start, CAST(col_end AS INT) AS col_end, id FROM ({_RUNS.format('hit')}) AS r")
+def _(spark, d):  # noqa: ANN001, ANN202
+    return burn_segments(synth.rectangles(spark, d), None, SMALL, "approx").runs
+
+
+@query("window_materialize", f"{_WRITE} SELECT row - 9 AS row, col - 6 AS col, arg_max(v, rank * 1000000000 + id) AS value FROM wr WHERE row BETWEEN 10 AND 25 AND col BETWEEN 7 AND 21 GROUP BY row, col")
+def _(spark, d):  # noqa: ANN001, ANN202
+    return dense.materialize(results.crop(rect_burn(spark, d), CROP), _values(spark, d), "last", threshold=0.503)
+
+
+@query("wkb_forms", "SELECT CAST(i AS INT) AS row, CAST(i AS INT) AS col, CAST(i AS INT) AS id FROM range(1, 7) AS t(i)")
+def _(spark, d):  # noqa: ANN001, ANN202
+    xy = lambda i: (i - 0.5, 10.5 - i)
+    forms = [
+        struct.pack("<BIdd", 1, 1, *xy(1)), struct.pack(">BIdd", 0, 1, *xy(2)), struct.pack("<BIIdd", 1, 0x20000001, 4326, *xy(3)),
+        struct.pack(">BIddd", 0, 0x80000001, *xy(4), 7.0), struct.pack("<BIdddd", 1, 3001, *xy(5), 7.0, 8.0), struct.pack(">BIIBIdd", 0, 4, 1, 0, 1, *xy(6)),
+    ]
+    return burn(spark.createDataFrame(list(enumerate(forms, 1)), "id int, wkb binary"), grid=Grid(0, 0, 10, 10, 10, 10), keep=False).points

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwright.operators.segments import weighted
+from meshwright.operators.segments import ring_segments
 from meshwright.plans.grid import Grid
 
 #: Cells of 1.5 x 2.
@@ -53,21 +53,18 @@ def view(spark: SparkSession, sf_dir: str, text: str, *tables: str) -> DataFrame
 def _closed(df: DataFrame, corners: list[tuple[str, str]], turned) -> DataFrame:  # noqa: ANN001
     ring = F.array(*(F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (*corners, corners[0])))
     ring = F.when(turned, F.reverse(ring)).otherwise(ring)
-    n = len(corners)
-    pairs = F.arrays_zip(F.slice(ring, 1, n).alias("a"), F.slice(ring, 2, n).alias("b"))
-    rows = df.select("id", F.lit("polygon").alias("kind"), "part", "ring", F.posexplode(pairs).alias("seq", "s"))
-    return rows.select("id", "kind", "part", "ring", "seq", *(F.col(f"s.{e}.{c}").alias(f"{c}{k}") for k, e in enumerate("ab") for c in "xy"))
+    return ring_segments(df.select("id", F.lit("polygon").alias("kind"), "part", "ring", ring.alias("c")))
 
 
 def rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted segments of the rectangles."""
-    return weighted(_closed(view(spark, sf_dir, RECTANGLES, "part"), [("ax", "ay"), ("bx", "ay"), ("bx", "bz"), ("ax", "bz")], F.col("id") % 2 == 1))
+    return _closed(view(spark, sf_dir, RECTANGLES, "part"), [("ax", "ay"), ("bx", "ay"), ("bx", "bz"), ("ax", "bz")], F.col("id") % 2 == 1)
 
 
 def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted segments of the triangles."""
     rows = view(spark, sf_dir, TRIANGLES, "supplier").withColumns({"part": F.lit(0), "ring": F.lit(0)})
-    return weighted(_closed(rows, [("ax", "ay"), ("bx", "bz"), ("cx", "cy")], F.lit(False)))
+    return _closed(rows, [("ax", "ay"), ("bx", "bz"), ("cx", "cy")], F.lit(False))
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
