@@ -2,7 +2,7 @@
 
 Every passage of ``PASSAGE`` words is encoded by features of its bytes and words and a learnt layer; gated attention
 (tanh times sigmoid, as published for multiple-instance learning) weighs the passages of a document; the weighted
-
+sum of its passages is scored by a logistic output. All weights are learnt together from document labels, by
 gradient steps (Adam) in numpy, from a bounded sample of labelled rows (``SAMPLE``, by hash of the id; a training
 document gives at most ``BAG`` passages, evenly spaced). Scores use all passages of the whole text.
 

@@ -18,8 +18,10 @@ import hashlib
 import io
 import wave
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from meshwright.llm.common import per_text, table
@@ -86,34 +88,37 @@ def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
 _SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_pairs long, feature string"
 
 
-def _digest(keys: list, texts: list[bytes]) -> dict:
-    out: dict[str, list] = {n: [] for n in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_pairs", "feature")}
-    for text in texts:
-        media = to_wav(padded(text))
-        back = from_wav(media)
-        at, codes = fingerprint(back)
-        values = (len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), len(at))
-        for name, value in zip(out, (*values, hashlib.sha256(np.stack([at, codes]).astype("<i8").tobytes()).hexdigest()), strict=True):
-            out[name].append(value)
-    return out | {"doc_id": keys}
-
-
 def media_columns(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key`` with the WAV file (``media``) and its fingerprint (``pairs``: time-coded array) of every text."""
+    """``key``, n_bytes (of the text), the WAV file (``media``) and its fingerprint (``pairs``: time-coded array) of every text."""
 
     def step(keys: list, texts: list[bytes]) -> dict:
         media = [to_wav(padded(t)) for t in texts]
         pairs = [fingerprint(from_wav(m)) for m in media]
-        return {key: keys, "media": media, "pairs": [[{"frame": int(a), "code": int(c)} for a, c in zip(*p, strict=True)] for p in pairs]}
+        return {key: keys, "n_bytes": list(map(len, texts)), "media": media, "pairs": [[{"frame": int(a), "code": int(c)} for a, c in zip(*p, strict=True)] for p in pairs]}
 
     kind = dict(df.dtypes)[key]
-    return per_text(df, key, text, f"`{key}` {kind}, media binary, pairs array<struct<frame:int,code:int>>", step)
+    return per_text(df, key, text, f"`{key}` {kind}, n_bytes long, media binary, pairs array<struct<frame:int,code:int>>", step)
+
+
+def media_digest(columns: DataFrame) -> DataFrame:
+    """Digests of the stored media and pairs (:func:`media_columns`), with the payload read back from the files by the wave module."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes, media, pairs = batch.columns
+            ends, values = pairs.offsets.to_numpy(), pairs.values
+            frames, codes = (values.field(n).to_numpy(zero_copy_only=False) for n in ("frame", "code"))
+            rows = []
+            for m, lo, hi in zip(media, ends[:-1], ends[1:], strict=True):
+                file = m.as_py()
+                back = from_wav(file)
+                feature = hashlib.sha256(np.stack([frames[lo:hi], codes[lo:hi]]).astype("<i8").tobytes()).hexdigest()
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(file), hashlib.sha256(file).hexdigest(), int(hi - lo), feature))
+            made = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([keys, sizes, *made], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_pairs", "feature"])
 
-def media_digest(df: DataFrame) -> DataFrame:
-    """Digests of what :func:`media_columns` stores, without moving the files through Spark."""
-    return per_text(df, "doc_id", "text", _SCHEMA, _digest)
+    return columns.mapInArrow(run, _SCHEMA)
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digest(table(spark, sf_dir, "documents"))
+    return media_digest(media_columns(table(spark, sf_dir, "documents")))

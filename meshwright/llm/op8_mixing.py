@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import stored, table
+from meshwright.llm.common import fresh, stored, table
 
 ENTROPY, LIMIT, BLOCK_ROWS, SEED, HALVINGS = 0.99, 4.0, 4096, 17, 25
 
@@ -70,12 +70,12 @@ def exponent(sources: DataFrame, n: int, entropy: float | None, limit: float | N
 
 
 def planned(documents: DataFrame, entropy: float | None = ENTROPY, limit: float | None = LIMIT, keep_all: bool = False, seed: int = SEED) -> DataFrame:
-    """doc_id, source, n_tokens, weight and copies of every document. keep_all: the budget is so large that no source gets less than one copy; else it is the tokens there are."""
+    """doc_id, source, n_tokens, weight, copies, block and rank of every document: a source's permutation goes by block, then rank, then doc_id. keep_all: the budget is so large that no source gets less than one copy; else it is the tokens there are."""
     counted = stored(documents.select("doc_id", "source", n_tokens().alias("n_tokens"), F.xxhash64("doc_id", F.lit(seed)).alias("rank")))
     totals = stored(counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")))
     sums = totals.agg(F.sum("tokens").alias("tokens"), F.sum((F.col("tokens") > 0).cast("int")).alias("n")).first()
     if not sums["tokens"]:
-        return counted.select("doc_id", "source", "n_tokens", F.lit(0.0).alias("weight"), F.lit(1).cast("long").alias("copies"))
+        return counted.select("doc_id", "source", "n_tokens", F.lit(0.0).alias("weight"), F.lit(1).cast("long").alias("copies"), F.lit(0).cast("long").alias("block"), "rank")
     sources = totals.withColumn("share", F.col("tokens") / F.lit(float(sums["tokens"])))
     x = exponent(sources.where("tokens > 0"), sums["n"], entropy, limit, keep_all)
     z = sources.where("tokens > 0").agg(F.sum(F.pow("share", F.lit(x))).alias("z"), F.min(F.pow("share", F.lit(x - 1))).alias("least")).first()
@@ -97,14 +97,15 @@ def planned(documents: DataFrame, entropy: float | None = ENTROPY, limit: float
     running = F.sum("n_tokens").over(Window.partitionBy("source", "block").orderBy("rank", "doc_id"))
     cut = placed.where(split).withColumn("extra", (F.col("before") + running <= F.col("rest")).cast("long"))
     copies = (F.col("whole") + F.col("extra")).cast("long").alias("copies")
-    return plain.unionByName(cut).select("doc_id", "source", "n_tokens", "weight", copies)
+    return plain.unionByName(cut).select("doc_id", "source", "n_tokens", "weight", copies, F.col("block").cast("long").alias("block"), "rank")
 
 
 def mixed(documents: DataFrame, **targets) -> DataFrame:
-    """``documents`` with each row as often as its plan says."""
-    plan = planned(documents, **targets).select(F.col("doc_id").alias("d__"), F.col("copies").alias("c__")).groupBy("d__").agg(F.max("c__").alias("c__"))
-    joined = documents.join(plan, F.col("doc_id").eqNullSafe(F.col("d__")))
-    return joined.withColumn("k__", F.explode(F.when(F.col("c__") > 0, F.sequence(F.lit(1), F.col("c__").cast("int"))))).select(*documents.columns)
+    """``documents`` with each row as often as its plan says; rows that share an id get the largest number of copies that one of them has."""
+    doc, copies, k = fresh(documents, "planned_doc", "planned_copies", "planned_copy")
+    plan = planned(documents.select("doc_id", "source", "text"), **targets).groupBy(F.col("doc_id").alias(doc)).agg(F.max("copies").alias(copies))
+    joined = documents.join(plan, F.col("doc_id").eqNullSafe(F.col(doc)))
+    return joined.withColumn(k, F.explode(F.when(F.col(copies) > 0, F.sequence(F.lit(1), F.col(copies).cast("int"))))).select(*documents.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

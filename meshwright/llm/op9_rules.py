@@ -12,12 +12,13 @@ stratum is off there: too few labels never reject anything.
 Counts are gathered from all labelled rows; only the counts of (stratum, rule, grid step, label) reach the driver.
 
 Defined results: a null or empty text has no words, and so fails the base rule; a long text is counted whole; repeated
-rows are judged alike, each in its own row; labels without a document, without a value, or given twice count as they
-stand; an empty table gives an empty table; further columns are ignored.
+rows are judged alike, each in its own row; labels without a document or without a value don't count; equal texts with
+equal labels count once, since the exact bound needs independent documents; an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -59,6 +60,7 @@ def _step(keys: list, texts: list[bytes]) -> dict:
     words, lines = Words(texts), [[x for x in t.split(b"\n") if x.strip()] for t in texts]
     return {
         "doc_id": keys,
+        "digest": [int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True) for t in texts],
         "n_words": words.count,
         "word_chars": np.add.reduceat(_CHAR[words.bytes], words.offsets[:-1]),
         "n_symbols": np.add.reduceat(_SYMBOL[words.bytes], words.offsets[:-1]),
@@ -69,8 +71,8 @@ def _step(keys: list, texts: list[bytes]) -> dict:
 
 
 def text_stats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The counts of every whole text."""
-    return per_text(df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", "doc_id long, " + ", ".join(f"{n} long" for n in STATS), _step)
+    """The counts of every whole text, and a 64-bit digest of it."""
+    return per_text(df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", "doc_id long, digest long, " + ", ".join(f"{n} long" for n in STATS), _step)
 
 
 def rules() -> dict[str, tuple[Column, float]]:
@@ -136,7 +138,7 @@ def choose(good: np.ndarray, bad: np.ndarray, limit: float, level: float) -> int
 def cutoffs(stats: DataFrame, labels: DataFrame, limit: float = LIMIT, level: float = LEVEL) -> dict[tuple[int, str], float]:
     """The cutoff of each stratum and rule that has a certified one. labels: doc_id, quality."""
     rule, grid = rules(), {name: top / STEPS for name, (_, top) in rules().items()}
-    marked = labels.where("quality IN (0, 1)").select("doc_id", "quality").join(stats, "doc_id")
+    marked = labels.where("quality IN (0, 1)").select("doc_id", "quality").join(stats, "doc_id").select("quality", "digest", *STATS).distinct()
     steps = F.array(*(F.struct(F.lit(n).alias("rule"), F.least(F.floor(v / grid[n]), F.lit(STEPS)).cast("int").alias("step")) for n, (v, _) in rule.items()))
     counted = marked.select("quality", stratum().alias("stratum"), F.explode(steps).alias("at")).groupBy("quality", "stratum", "at.rule", "at.step").count()
     found: dict[tuple[int, str], np.ndarray] = {}
@@ -164,7 +166,7 @@ def quality_rules(documents: DataFrame, labels: DataFrame, limit: float = LIMIT,
     """The counts of every document, whether it fails the base rule, and whether it is kept."""
     stats = stored(text_stats(documents))
     chosen = cutoffs(stats, labels, limit, level)
-    return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(chosen))
+    return stats.drop("digest").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(chosen))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,7 +46,7 @@ def words_of(text):
 def test_empty_tables_and_odd_rows(spark, docs, labels):
     none, no_labels = docs.limit(0), labels.limit(0)
     for d, n in ((docs, len(TEXTS) + 2), (none, 0)):
-        assert op5_media.media_digest(d).count() == n
+        assert op5_media.media_digest(op5_media.media_columns(d)).count() == n
         assert op9_rules.quality_rules(d, labels).count() == n and op9_rules.quality_rules(d, no_labels).count() == n
         assert op8_mixing.planned(d).count() == n
         assert op2_lines.dedup_lines(d).count() == n
@@ -59,7 +59,7 @@ def test_empty_tables_and_odd_rows(spark, docs, labels):
 
 
 def test_media_round_trip(docs):
-    got = {r["doc_id"]: r for r in op5_media.media_digest(docs).collect() if r["doc_id"] is not None}
+    got = {r["doc_id"]: r for r in op5_media.media_digest(op5_media.media_columns(docs)).collect() if r["doc_id"] is not None}
     for i, t in enumerate(TEXTS):
         data = (t or "").encode()
         payload = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
@@ -72,6 +72,15 @@ def test_media_round_trip(docs):
     assert len(whole[0]) > 0 and (np.diff(whole[0]) >= 0).all()
 
 
+def test_media_columns_hold_what_is_digested(docs):
+    rows = {(r["doc_id"], r["n_bytes"]): r for r in op5_media.media_columns(docs).collect()}
+    digest = op5_media.media_digest(op5_media.media_columns(docs)).collect()
+    assert len(digest) == docs.count()
+    for r in digest:
+        kept = rows[r["doc_id"], r["n_bytes"]]
+        assert r["media_sha256"] == hashlib.sha256(kept["media"]).hexdigest() and r["n_pairs"] == len(kept["pairs"]) and r["media_bytes"] == len(kept["media"])
+
+
 def test_packing_is_a_partition_of_all_ids(docs):
     from tokenizers import Tokenizer
 
@@ -151,6 +160,14 @@ def test_near_duplicates_against_all_pairs(docs, real):
         assert got == {i: find(i) for i in texts}
 
 
+def test_rows_that_share_an_id(spark):
+    near = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, near), (5, "quite another text of words that stand on their own here"), (5, near + " tail"), (None, near)]
+    for order in (rows, rows[::-1]):
+        found = op6_minhash.near_duplicates(spark.createDataFrame(order, "doc_id long, text string")).collect()
+        assert sorted((str(r["doc_id"]), r["class_id"]) for r in found) == [("1", 1), ("5", 1), ("5", 5), ("None", 1)]
+
+
 def test_signatures_are_unbiased():
     r = np.random.default_rng(1)
     left, right = [], []
@@ -176,7 +193,6 @@ def test_lines_keep_one_of_each_group(docs, spark):
     assert out[10]["text"].count("is here") == 1 and out[10]["n_removed"] >= 4  # equal lines always; an edited one if its blocks agree
     assert out[13]["text"] == "" and out[3]["text"] == "a" and out[0]["text"] == ""
     assert out[4]["text"] == TEXTS[4] and out[5]["text"] == ""
-    assert len(op2_lines.MASKS) == math.comb(op2_lines.BLOCKS, op2_lines.JOINED)
     hashed = op2_lines.simhashes(spark.createDataFrame([(1, "a b c d e " * 100), (2, "a b c d e")], "id long, norm string").withColumn("norm", F.trim("norm")))
     assert len({r["simhash"] for r in hashed.collect()}) == 1
 
@@ -199,22 +215,47 @@ def test_edited_lines_are_found(spark):
 
     r = np.random.default_rng(4)
     word = lambda n: "".join(r.choice(list("abcdefghijklmnop"), n))
-    bases = [word(r.integers(5, 24)) for _ in range(60)]
-    short = sorted({"".join(r.choice(list("ab"), r.integers(1, 25))) for _ in range(150)} | {t for b in bases for t in (b, b[:-1], "z" + b[1:])})
-    frame = spark.createDataFrame(list(enumerate(short)), "id long, norm string")
-    pairs = {(p["a"], p["b"]) for p in op2_lines.compared(op2_lines.short_pairs(frame, 0.8), frame, 0.8).where("near").collect()}
-    assert pairs == {(a, b) for (a, x), (b, y) in itertools.combinations(enumerate(short), 2) if distance(x, y) <= math.floor(0.2 * max(len(x), len(y)) + 1e-9)}
-    assert len(pairs) > 60
+    lines = [" ".join(word(r.integers(1, 8)) for _ in range(r.integers(5, 16))) for _ in range(40)]
+    for x in list(lines):  # words and letters changed, left out and put in, at both ends and between
+        w = x.split()
+        for k in range(3):
+            at = int(r.integers(0, len(w)))
+            lines.append(" ".join([w[:at] + w[at + 1 :], w[:at] + [word(3)] + w[at:], w[:at] + [w[at][:-1] + "z"] + w[at + 1 :]][k]) or "a")
+    frame = spark.createDataFrame(list(enumerate(lines)), "id long, norm string")
+    every = [(a, b) for a, b in itertools.combinations(range(len(lines)), 2) if b - 40 in range(3 * a, 3 * a + 3) or (a + b) % 17 == 0]
+    pairs = {(p["a"], p["b"]) for p in op2_lines.compared(spark.createDataFrame(every, "a long, b long"), frame, 0.8).where("near").collect()}
+    near = lambda x, y: distance(x, y) <= math.floor(0.2 * max(len(x), len(y)) + 1e-9)
+    assert pairs == {(a, b) for a, b in every if near(lines[a], lines[b])} and len(pairs) > 60
     texts = []
-    for n in (5, 6, 8, 10, 12, 20, 40) * 20:  # one word of five letters redrawn, or one letter of each of two words
+    for n in (5, 6, 8, 10, 12, 20, 40) * 20:  # one word of five letters redrawn, or a letter of one word
         line = [word(5) for _ in range(n)]
-        edited = list(line)
-        edited[r.integers(0, n)] = word(5)
-        texts += [" ".join(line), " ".join(edited), " ".join("q" + w[1:] if k < 2 else w for k, w in enumerate(line))]
+        edited, at = list(line), int(r.integers(0, n))
+        edited[at] = word(5)
+        texts += [" ".join(line), " ".join(edited), " ".join("q" + w[1:] if k == at else w for k, w in enumerate(line))]
     found = op2_lines.removed_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert found.count() >= 0.98 * 2 * len(texts) / 3
 
 
+def test_line_links_against_all_pairs(real):
+    """Links of lines in the tables: pairs that share a run of eight characters and are near by all-pairs comparison."""
+    duckdb = pytest.importorskip("duckdb")
+    docs = real[0].select("doc_id", "text")
+    lines = docs.select(F.explode(op2_lines.normalised_lines(F.col("text"))).alias("norm")).where("norm <> ''").select(F.xxhash64("norm").alias("id"), "norm").distinct()
+    frame = lines.toPandas()  # noqa: F841
+    sql = "SELECT a.id AS a, b.id AS b FROM frame a JOIN frame b ON a.id < b.id AND abs(length(a.norm) - length(b.norm)) <= 0.2 * greatest(length(a.norm), length(b.norm)) AND length(a.norm) BETWEEN 10 AND 1500 AND length(b.norm) BETWEEN 10 AND 1500 AND jaccard(left(a.norm, 1500), left(b.norm, 1500)) > 0.5 AND levenshtein(a.norm, b.norm) <= floor(0.2 * greatest(length(a.norm), length(b.norm)) + 1e-9)"
+    links = duckdb.sql(sql).fetchall()
+    root = {r["id"]: r["root"] for r in op2_lines.line_groups(docs)[1].collect()}
+    assert links and sum(root.get(a, a) == root.get(b, b) for a, b in links) >= 0.9 * len(links)
+
+
+def test_removals_go_by_text_and_names_may_clash(spark):
+    rows = [(1, "the same line of words is here\nother"), (4, "only this document has such words inside\nx"), (4, "the same line of words is here\ny"), (None, "the same line of words is here\nz")]
+    frame = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in rows], "doc_id long, text string, gone int, parts int, n_lines int, GONE_DOC int")
+    out = op2_lines.dedup_lines(frame)
+    assert out.columns == ["doc_id", "text", "gone", "parts", "GONE_DOC", "n_lines", "n_removed"]
+    assert sorted((str(r["doc_id"]), r["text"], r["n_removed"]) for r in out.collect()) == [("1", rows[0][1], 0), ("4", rows[1][1], 0), ("4", "y", 1), ("None", "z", 1)]
+
+
 def test_mixing_meets_its_targets(docs, real):
     plan = op8_mixing.planned(real[1]).groupBy("source").agg(F.sum("n_tokens").alias("t"), F.sum(F.col("n_tokens") * F.col("copies")).alias("u"), F.max("weight").alias("w")).toPandas()
     assert plan.w.sum() == pytest.approx(1, abs=1e-6) and -(plan.w * np.log(plan.w)).sum() >= 0.99 * math.log(len(plan)) - 1e-6
@@ -222,6 +263,12 @@ def test_mixing_meets_its_targets(docs, real):
     kept = op8_mixing.planned(docs, entropy=None, limit=2.0, keep_all=True)
     assert kept.agg(F.min("copies")).first()[0] >= 1
     again = op8_mixing.mixed(docs, entropy=None, limit=2.0, keep_all=True)
+    clash = docs.withColumns({"planned_doc": F.lit(1), "planned_copy": F.lit(7)})
+    assert op8_mixing.mixed(clash, entropy=None, limit=2.0, keep_all=True).agg(F.min("planned_copy"), F.max("planned_copy")).first()[:] == (7, 7)
+    rows = op8_mixing.planned(real[1]).toPandas().sort_values(["block", "rank", "doc_id"])
+    for _, of in rows[rows.n_tokens > 0].groupby("source", dropna=False):  # a permutation's prefix is taken: block by block, by rank inside the block that it ends in
+        extra = (of.copies - of.copies.min()).to_numpy()
+        assert set(extra) <= {0, 1} and (np.diff(extra) <= 0).all()
     assert again.columns == docs.columns and again.count() >= docs.count()
 
 
