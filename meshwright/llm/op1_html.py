@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 from html import unescape
 
@@ -64,6 +65,11 @@ class Tree:
         self.texts: list[str] = []
         self.marks: list[str] = [""]
         stack, run, linked = [("", 0)], [], [0, 0]
+        opened: Counter = Counter()  # names on the stack, so that no tag without a partner is looked for through all of it
+
+        def close(k: int) -> None:
+            opened.subtract(t for t, _ in stack[k:])
+            del stack[k:]
 
         def flush() -> None:
             text = " ".join(unescape("".join(run)).split())
@@ -95,23 +101,29 @@ class Tree:
             if tag not in _INLINE:
                 flush()
             if closing:
-                k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-                if k and not (tag in _INLINE and any(t not in _INLINE for t, _ in stack[k + 1 :])):
-                    del stack[k:]
+                if opened[tag] > 0:
+                    k = len(stack) - 1
+                    while stack[k][0] != tag and not (tag in _INLINE and stack[k][0] not in _INLINE):
+                        k -= 1
+                    if stack[k][0] == tag:
+                        close(k)
                 continue
             if tag not in _INLINE:
-                k = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == "p"), 0)
-                if k and all(t in _INLINE for t, _ in stack[k + 1 :]):  # a block ends the paragraph it stands in
-                    del stack[k:]
-                names, bounds = _ENDS.get(tag, ("", ""))
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] in bounds.split():
-                        break
-                    if stack[i][0] in names.split():
-                        del stack[i:]
-                        break
+                k = len(stack) - 1
+                while k and stack[k][0] in _INLINE:
+                    k -= 1
+                if k and stack[k][0] == "p":  # a block ends the paragraph it stands in
+                    close(k)
+                names, bounds = (x.split() for x in _ENDS.get(tag, ("", "")))
+                if any(opened[n] > 0 for n in names):
+                    k = len(stack) - 1
+                    while k and stack[k][0] not in bounds and stack[k][0] not in names:
+                        k -= 1
+                    if stack[k][0] in names:
+                        close(k)
             if tag in _VOID:
                 continue
+            opened[tag] += 1
             stack.append((tag, stack[-1][1] if tag in _INLINE else self._element(stack[-1][1], tag, (m[4] if m[3] else m[7]) or "")))
         if end < len(html):
             take(html[end:])
@@ -152,7 +164,8 @@ class Forest:
         self.parent = np.concatenate([np.array(t.parent) + o for t, o in zip(trees, self.first, strict=False)])
         depth = np.concatenate([t.depth for t in trees])
         self.kind = np.concatenate([t.kind for t in trees])
-        self.levels = [np.flatnonzero(depth == d) for d in range(1, depth.max() + 1)]
+        order = np.argsort(depth, kind="stable")
+        self.levels = np.split(order, np.cumsum(np.bincount(depth))[:-1])[1:]
         flat = [f for t in trees for f in t.features]
         self.row = np.repeat(np.arange(len(flat)), [len(f) for f in flat])
         self.column = np.fromiter((c for f in flat for c in f), np.int64, len(self.row))
