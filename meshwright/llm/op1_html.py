@@ -41,12 +41,12 @@ _TAGS = "html body div section article main p h1 h2 h3 h4 h5 h6 ul ol li dl dt d
 _HINTS = {
     "nav": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toc skip tabs",
     "head": "header masthead topbar banner branding logo sitehead",
-    "foot": "footer foot copyright legal colophon bottom",
-    "side": "sidebar side aside widget rail related recommended trending popular complementary",
+    "foot": "fusszeile pied pie footer foot copyright legal colophon bottom",
+    "side": "seitenleiste lateral sidebar side aside widget rail related recommended trending popular complementary",
     "note": "cookie cookies consent notice alert popup modal gdpr warning announcement dialog overlay",
     "ad": "ad ads advert adverts advertisement adsbygoogle sponsor sponsored promo promoted promotion",
     "form": "form search newsletter subscribe subscription signup login contact",
-    "talk": "comment comments reply replies discussion disqus respond thread responses feedback",
+    "talk": "remark remarks opinions kommentar kommentare comentarios commentaires commenti comment comments reply replies discussion disqus respond thread responses feedback",
     "share": "share sharing social follow tags meta byline",
     "good": "article content main post entry story text body page articlebody",
 }
@@ -189,7 +189,7 @@ class Forest:
         return 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -700, 700))), joint
 
 
-def fit(trees: list[Tree], steps: int = 150) -> tuple[np.ndarray, np.ndarray]:
+def fit(trees: list[Tree], steps: int = 250) -> tuple[np.ndarray, np.ndarray]:
     """Potentials that make the labelled states likely. An element is content if most of the text below it is."""
     forest = Forest(trees)
     weight = np.zeros((len(forest.parent), 2))
@@ -214,7 +214,7 @@ def fit(trees: list[Tree], steps: int = 150) -> tuple[np.ndarray, np.ndarray]:
     return theta[:N_FEATURES], theta[N_FEATURES:].reshape(3, 2, 2)
 
 
-def labelled_pages(n: int = 500, seed: int = 5) -> list[str]:
+def labelled_pages(n: int = 800, seed: int = 5) -> list[str]:
     """Pages whose elements carry ``data-truth`` (content or other), inherited by what is inside."""
     r = random.Random(seed)
     syllables = "an be co da el fo gi ha in jo ka lu me no or pa qui re su ta un vi we yo ze tion ment able".split()
@@ -259,13 +259,13 @@ def labelled_pages(n: int = 500, seed: int = 5) -> list[str]:
 
     def comments() -> str:
         one = lambda: r.choice((f"<p>{prose(r.randint(1, 3))}</p>", f'<div class="comment"><b>{word()}</b><p>{prose(2)}</p></div>', f"<li>{prose(1)}</li>"))
-        return other(r.choice(("section", "div", "ol", "div")), name("comments", "comment-list", "discussion", "replies", "responses"), r.choice(("", f"<h3>{word()}</h3>")) + "".join(one() for _ in range(r.randint(1, 5))))
+        return other(r.choice(("section", "div", "ol", "div")), name("comments", "comment-list", "discussion", "replies", "responses", "remarks", "kommentare", "comentarios", "commentaires"), r.choice(("", f"<h3>{word()}</h3>")) + "".join(one() for _ in range(r.randint(1, 5))))
 
     def header() -> str:
         return other(*r.choice((("header", ""), ("header", name("header", "masthead")), ("div", name("header", "masthead", "topbar", "banner")))), r.choice((f"<h1>{word()}</h1>", f"<div>{sentence(1, 4)}</div>", f"<p>{sentence(2, 8)}</p>", f'<a href="/">{word()}</a>')) + r.choice(("", links(3))))
 
     def footer() -> str:
-        return other(*r.choice((("footer", ""), ("footer", name("footer", "site-footer")), ("div", name("footer", "copyright", "bottom")))), r.choice(("&copy; ", "", "© ")) + r.choice((prose(1), f"<p>{prose(2)}</p>", links(4))))
+        return other(*r.choice((("footer", ""), ("footer", name("footer", "site-footer")), ("div", name("footer", "copyright", "bottom", "pied", "fusszeile")))), r.choice(("&copy; ", "", "© ")) + r.choice((prose(1), f"<p>{prose(2)}</p>", links(4))))
 
     def block() -> str:
         x = r.random()
@@ -281,7 +281,9 @@ def labelled_pages(n: int = 500, seed: int = 5) -> list[str]:
             return f"<blockquote><p>{prose(2)}</p></blockquote>"
         if x < 0.91:
             return f"<pre>{prose(1)}</pre>"
-        if x < 0.94:
+        if x < 0.925:
+            return "<dl>" + "".join(f"<dt>{sentence(1, 3).strip('.!?')}</dt><dd>{sentence(2, 12)}</dd>" for _ in range(r.randint(1, 4))) + "</dl>"
+        if x < 0.945:
             return "<table>" + "".join(f"<tr><td>{word()}</td><td>{sentence(1, 5)}</td></tr>" for _ in range(3)) + "</table>"
         if x < 0.97:
             return f'<p>{prose(2)} <a href="/y">{sentence(1, 3)}</a> {prose(1)}</p>'
@@ -289,8 +291,9 @@ def labelled_pages(n: int = 500, seed: int = 5) -> list[str]:
 
     def page() -> str:
         plain[0] = r.random() < 0.2
-        inside = [f"<h1>{sentence(2, 10)}</h1>"] if r.random() < 0.85 else []
-        for _ in range(r.randint(1, 14)):
+        inside = [f"<h1>{sentence(2, 10)}</h1>"] if r.random() < 0.7 else []
+        short = r.random() < 0.45
+        for _ in range(r.randint(1, 3) if short else r.randint(1, 14)):
             inside.append(block())
             if r.random() < 0.1:
                 inside.append(r.choice((advert, notice, form, sidebar))())
@@ -298,9 +301,12 @@ def labelled_pages(n: int = 500, seed: int = 5) -> list[str]:
             inside.append(comments())
         tag, attributes = r.choice((("article", ""), ("article", name("post", "story")), ("main", ""), ("div", name("content", "article", "main", "post", "entry")), ("section", name("content", "story")), ("div", ' role="main"')))
         body = f'<{tag}{attributes} data-truth="content">' + "".join(inside) + f"</{tag}>"
+        alone = r.random() < 0.25
         before = [f() for f in (header, menu, notice, advert, form, sidebar) if r.random() < 0.4]
         after = [f() for f in (comments, sidebar, advert, form, notice, footer, footer, menu) if r.random() < 0.35]
         r.shuffle(before)
+        if alone:
+            return body
         if r.random() < 0.3:
             body, after = f"<div{name('', 'page', 'wrapper', 'container')}>{body}{''.join(after[:2])}</div>", after[2:]
         whole = "<!DOCTYPE html><html><head><title>x</title></head><body>" + "".join([*before, body, *after])

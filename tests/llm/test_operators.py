@@ -296,6 +296,21 @@ def test_html_on_pages_of_its_own_kind_and_odd_ones():
     assert forest.marginals(unary, edge)[0][1:] == pytest.approx(total[1:] / total[0])
 
 
+def test_html_of_bare_and_deep_pages_and_odd_rows(spark):
+    alone = "<article><p>A bare fragment with one paragraph of text, and nothing else at all.</p></article>"
+    listed = "<nav><a href='/'>Home</a> <a href='/b'>About</a></nav><article><h1>Title of it</h1><dl><dt>Term</dt><dd>Its meaning is explained in this place.</dd></dl><p>Some more text of the article, long enough to be read.</p></article><footer>&copy; 2020 All rights reserved.</footer>"
+    deep = "<div>" * 20_000 + alone + "</div>" * 20_000
+    long = "<article>" + "<p>Words of a very long page, that goes on and on.</p>" * 100_000 + "</article>"
+    rows = [(1, alone), (2, listed), (3, None), (4, ""), (5, deep), (6, long), (1, alone), (None, alone), (7, "<ul><li>x</b></i></ul></p></div>")]
+    frame = spark.createDataFrame([(i, "u", h, 1, 2) for i, h in rows], "page_id long, url string, html string, page int, text int")
+    got = op1_html.main_text(frame).collect()
+    found = {r["page_id"]: r["text"] for r in got}
+    assert len(got) == len(rows) and found[1] == found[None] and found[1].startswith("A bare fragment") and found[3] == found[4] == ""
+    assert found[2].split("\n") == ["Title of it", "Term", "Its meaning is explained in this place.", "Some more text of the article, long enough to be read."]
+    assert found[6].count("\n") == 99_999 and all(r["n_chars"] == len(r["text"]) for r in got)
+    assert op1_html.main_text(frame.limit(0)).count() == 0
+
+
 def test_classifiers_on_held_out_labels(real):
     _, docs, labels = real
     for f, column, share in ((op3_quality.quality, "quality", 0.97), (op10_toxicity.toxicity, "toxic", 0.9)):
