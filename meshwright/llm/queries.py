@@ -10,6 +10,7 @@ import corpus_pipeline
 
 from meshwright.llm.op1_html import op1_html_extraction
 from meshwright.llm.op10_toxicity import op10_toxicity
+from meshwright.llm.op13_tokens import op13_token_counts
 from meshwright.llm.op2_lines import op2_line_dedup
 from meshwright.llm.op3_quality import op3_quality
 from meshwright.llm.op4_lm import op4_lm_scoring
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixing,
         op9_quality_rules,
         op10_toxicity,
+        op13_token_counts,
     )
 }
 
