@@ -10,6 +10,9 @@ import corpus_pipeline
 
 from meshwright.llm.op1_html import op1_html_extraction
 from meshwright.llm.op10_toxicity import op10_toxicity
+from meshwright.llm.op11_negatives import SQL as NEGATIVES_SQL
+from meshwright.llm.op11_negatives import op11_hard_negatives
+from meshwright.llm.op12_whitening import op12_embedding_whitening
 from meshwright.llm.op13_tokens import op13_token_counts
 from meshwright.llm.op2_lines import op2_line_dedup
 from meshwright.llm.op3_quality import op3_quality
@@ -33,10 +36,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_mixing,
         op9_quality_rules,
         op10_toxicity,
+        op11_hard_negatives,
+        op12_embedding_whitening,
         op13_token_counts,
     )
 }
 
 QUERIES["pipeline"] = corpus_pipeline.run
 
-ORACLE_SQL: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op11_hard_negatives": NEGATIVES_SQL}
+ORACLE_SQL |= {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
