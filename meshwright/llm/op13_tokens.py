@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from meshwright.llm.common import as_bytes, spans, stored, table
 
-LIMIT, BLOCK_BYTES, SLICE_ROWS = 1024, 32 << 20, 256
+LIMIT, BLOCK_BYTES, SLICE_ROWS, STEP_PAIRS = 1024, 16 << 20, 256, 200_000
 SPECIAL = "<|endoftext|>"
 #: Bytes that may end a white-space character, and bytes that may begin one.
 _ENDS, _BEGINS = rb"\x09-\x0d\x1c-\x20\x80-\x8a\x9f\xa0\xa8\xa9\xaf", rb"\x09-\x0d\x1c-\x20\xc2\xe1\xe2\xe3"
@@ -69,7 +69,8 @@ class Block:
         self.units: dict[bytes, int] = {}
         self.of_units: list[int] = []  # numbers of the pre-tokens of all units, one unit after another
         self.unit_ends: list[int] = [0]
-        self.ids, self.n_bytes, self.pairs = [], [], []
+        self.ids, self.n_bytes, self.pairs, self.waiting = [], [], [], 0
+        self.codes, self.counts, self.sizes = [], [], []
 
     def _unit(self, key: bytes, texts: Iterable[str]) -> int:
         """The number of a unit that wasn't met before, from its pre-tokens."""
@@ -105,10 +106,15 @@ class Block:
             counts[self._unit(name, [w]) if k is None else k] += n
         self.ids.append(key)
         self.n_bytes.append(len(text))
-        self.pairs.append((np.fromiter(counts.keys(), np.int64, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))))
-
-    def row(self, number: int) -> dict:
-        """The stored row: sizes has how many pairs each document has; codes are differences of ascending numbers, document after document."""
+        self.pairs.append((np.fromiter(counts.keys(), np.int32, len(counts)), np.fromiter(counts.values(), np.int64, len(counts))))
+        self.waiting += len(counts)
+        if self.waiting >= STEP_PAIRS:
+            self.settle()
+
+    def settle(self) -> None:
+        """Turns units of the documents since the last call into pre-tokens, each once a document, in ascending order."""
+        if not self.pairs:
+            return
         ends, of = np.array(self.unit_ends), np.array(self.of_units, np.int64)
         unit = np.concatenate([u for u, _ in self.pairs])
         times = np.concatenate([n for _, n in self.pairs])
@@ -116,13 +122,23 @@ class Block:
         many = ends[unit + 1] - ends[unit]
         at = np.repeat(ends[unit] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
         key, place = np.unique(np.repeat(document, many) * np.int64(1 << 32) + of[at], return_inverse=True)
-        count = np.bincount(place, np.repeat(times, many), len(key)).astype(np.int64)
-        sizes = np.bincount(key >> 32, minlength=len(self.pairs))
-        codes = np.diff(key & 0xFFFFFFFF, prepend=0)
-        return {
-            "block": number, "words": list(self.words), "ids": self.ids, "n_bytes": self.n_bytes, "sizes": sizes.tolist(),
-            "codes": packed(codes), "counts": packed(count),
-        }
+        self.codes.append((key & 0xFFFFFFFF).astype(np.int32))
+        self.counts.append(np.bincount(place, np.repeat(times, many), len(key)).astype(np.int64))
+        self.sizes.append(np.bincount(key >> 32, minlength=len(self.pairs)))
+        self.pairs, self.waiting = [], 0
+
+    def row(self, number: int) -> pa.RecordBatch:
+        """The stored row: sizes has how many pairs each document has; codes are differences of the numbers of pre-tokens, document after document."""
+        self.settle()
+        codes, counts, sizes = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in (self.codes, self.counts, self.sizes))
+        one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([number], pa.int64()), one(list(self.words), pa.string()), one(self.ids, pa.int64()), one(self.n_bytes, pa.int64()), one(sizes, pa.int32()),
+                pa.array([packed(np.diff(codes.astype(np.int64), prepend=0))], pa.binary()), pa.array([packed(counts)], pa.binary()),
+            ],
+            names=["block", "words", "ids", "n_bytes", "sizes", "codes", "counts"],
+        )
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -144,11 +160,6 @@ def unpacked(data: bytes) -> np.ndarray:
 
 def frequencies(df: DataFrame, key: str, text: str, path: str | None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row for each block of documents, see :class:`Block`."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(STORED))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, number = tokenizer(path).pre_tokenizer.pre_tokenize_str, TaskContext.get().partitionId() << 32
         block, size = Block(split), 0
@@ -159,13 +170,13 @@ def frequencies(df: DataFrame, key: str, text: str, path: str | None, block_byte
                 for lo, hi in spans(texts, block_bytes):
                     more = sum(map(len, texts[lo:hi]))
                     if block.ids and size + more > block_bytes:
-                        yield pa.RecordBatch.from_pylist([block.row(number)], arrow)
+                        yield block.row(number)
                         block, size, number = Block(split), 0, number + 1
                     for k, t in zip(keys[lo:hi], texts[lo:hi], strict=True):
                         block.add(k, t)
                     size += more
         if block.ids:
-            yield pa.RecordBatch.from_pylist([block.row(number)], arrow)
+            yield block.row(number)
 
     return df.select(F.col(key).cast("long"), F.col(text)).mapInArrow(run, STORED)
 
