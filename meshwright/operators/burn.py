@@ -13,7 +13,7 @@ from meshwright.operators.lines import line_cells
 from meshwright.operators.points import point_cells
 from meshwright.operators.polygons import centres, coverage
 from meshwright.plans.grid import Grid, extent_of, resolve
-from meshwright.sources.wkb import from_sequence, from_wkb
+from meshwright.sources.wkb import chunks_from_wkb, from_sequence
 
 MODES = ("coverage", "approx")
 TABLES = ("runs", "edges", "lines", "points")
@@ -31,7 +31,7 @@ class BurnResult:
     points: DataFrame
     notes: DataFrame
     source: DataFrame | None = None
-    #: row, col_start, col_end, share, id of runs and edges together, of coverage burns that weren't changed since.
+    #: row, col_start, col_end, share, part, id of runs and edges together, unless one of them was replaced; see :meth:`spans`.
     cells: DataFrame | None = None
     #: kind of the geometries, where that is known without a burn.
     kinds: DataFrame | None = None
@@ -53,14 +53,23 @@ class BurnResult:
             kept["cells"] = None
         return BurnResult(grid or self.grid, **(kept | tables))
 
+    def spans(self) -> DataFrame:
+        """row, col_start, col_end, share, part, id of all polygons: what reads this costs the boundary and the rows, not the cells."""
+        if self.cells is not None:
+            return self.cells
+        runs = self.runs.select("row", "col_start", "col_end", F.lit(1.0).alias("share"), F.lit(0).alias("part"), "id")
+        edges = self.edges.select("row", F.col("col").alias("col_start"), F.col("col").alias("col_end"), F.col("fraction").cast("double").alias("share"), F.lit(0).alias("part"), "id")
+        return runs.unionByName(edges)
+
     def only(self, ids: list | DataFrame) -> BurnResult:
         """The rows of some ids: a list, or a DataFrame with a column id (a semi-join)."""
         keep = (lambda t: t.join(ids.select("id").distinct(), "id", "left_semi").select(*t.columns)) if isinstance(ids, DataFrame) else (lambda t: t.where(F.col("id").isin(list(ids))))
-        return self.with_tables(**{n: keep(t) for n, t in self.tables().items()})
+        return self.with_tables(**{n: keep(t) for n, t in (*self.tables().items(), ("cells", self.spans()))})
 
     def as_float32(self) -> BurnResult:
         """Fractions and lengths in single precision."""
-        return self.with_tables(edges=self.edges.withColumn("fraction", F.col("fraction").cast("float")), lines=self.lines.withColumn("length", F.col("length").cast("float")))
+        narrow = lambda t, c: t.withColumn(c, F.col(c).cast("float"))
+        return self.with_tables(edges=narrow(self.edges, "fraction"), lines=narrow(self.lines, "length"), cells=narrow(self.spans(), "share"))
 
     def unpersist(self) -> None:
         """Lets go of decoded geometries that were kept for all tables."""
@@ -87,11 +96,10 @@ def burn_segments(rows: DataFrame, points: DataFrame | None, grid: Grid, mode: s
     _checked(mode)
     spark, kind = rows.sparkSession, dict(rows.dtypes)["id"]
     empty = lambda schema: spark.createDataFrame([], schema)
-    both = None
     if mode == "coverage":
         runs, edges, both = coverage(rows, grid)
     else:
-        runs, edges = centres(rows, grid), empty(f"row int, col int, fraction double, id {kind}")
+        (runs, both), edges = centres(rows, grid), empty(f"row int, col int, fraction double, id {kind}")
     kinds = source.where("error IS NULL").select("kind") if source is not None else rows.select("kind") if points is None else None
     cells = point_cells(points, grid) if points is not None else empty(f"row int, col int, id {kind}")
     return BurnResult(grid, runs, edges, line_cells(rows, grid), cells, notes if notes is not None else empty(f"id {kind}, message string"), source, both, kinds)
@@ -112,11 +120,29 @@ def burn_geometries(geometries: DataFrame, bounds=None, shape=None, resolution=N
     return burn_segments(sg.segments(geometries), sg.points(geometries), grid, mode, notes, geometries)
 
 
+#: Rings of more vertices than this are dealt out chunk by chunk.
+LONG_RING = 1 << 16
+
+
+def burn_chunks(chunks: DataFrame, bounds=None, shape=None, resolution=None, size: int = 256, mode: str = "coverage", grid: Grid | None = None, spread: bool = True) -> BurnResult:  # noqa: ANN001
+    """A burn of vertex chunks. Without a grid or bounds, one job finds the extent. spread: deal long rings out over tasks, which reads the chunks twice."""
+    _checked(mode)
+    if grid is None:
+        xy = chunks.select(F.explode("c").alias("xy")).select("xy.x", "xy.y")
+        grid = resolve(bounds if bounds is not None else extent_of(xy), shape, resolution, size)
+    dealt = chunks
+    if spread:
+        long = F.coalesce(F.col("n"), F.lit(0)) > LONG_RING
+        dealt = chunks.where(~long).unionByName(chunks.where(long).repartition("id", "part", "ring", "first"))
+    notes = chunks.where("error IS NOT NULL").select("id", F.col("error").alias("message"))
+    return burn_segments(sg.chunk_segments(dealt), sg.chunk_points(chunks), grid, mode, notes, chunks)
+
+
 def burn(df: DataFrame, bounds=None, shape=None, resolution=None, size: int = 256, mode: str = "coverage", id: str = "id", wkb: str = "wkb", grid: Grid | None = None, keep: bool = True) -> BurnResult:  # noqa: ANN001, A002
-    """A burn of WKB. keep: decode once for all tables (storage level memory and disk) until :meth:`BurnResult.unpersist`."""
+    """A burn of WKB, decoded into chunks of vertices. keep: decode once for all tables (storage level memory and disk) until :meth:`BurnResult.unpersist`, and deal long rings out over tasks."""
     _checked(mode)
-    decoded = from_wkb(df, id, wkb)
-    return burn_geometries(decoded.persist() if keep else decoded, bounds, shape, resolution, size, mode, grid)
+    chunks = chunks_from_wkb(df, id, wkb)
+    return burn_chunks(chunks.persist() if keep else chunks, bounds, shape, resolution, size, mode, grid, spread=keep)
 
 
 def burn_values(spark: SparkSession, values: object, **how) -> BurnResult:  # noqa: ANN003

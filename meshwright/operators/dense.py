@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meshwright.functions.cells import tile_of
 from meshwright.operators.burn import BurnResult
-from meshwright.operators.results import check_single_kind, kinds_present, measures
+from meshwright.operators.results import by_cell, check_single_kind, elementary, in_blocks, kinds_present, pieces, value_runs
 from meshwright.plans.grid import Grid
 
 FUNCTIONS = ("first", "last", "sum", "min", "max", "count", "any")
@@ -18,8 +18,8 @@ MOST_CELLS = 50_000_000
 
 
 def _reduced(fn: str, background: float | None) -> Column:
-    """The value of a cell from its writes (value, rank, id), in write order. A background other than NaN is there before them."""
-    order, value = F.struct("rank", "id"), F.col("value")
+    """The value of a cell from its writes (value, rank, id, part), in write order: all runs before all edges, each by id and part. A background other than NaN is there before them."""
+    order, value = F.struct("rank", "id", "part"), F.col("value")
     if background is None or np.isnan(background):
         return {
             "first": F.min_by(value, order), "last": F.max_by(value, order), "sum": F.sum(value), "min": F.min(value), "max": F.max(value),
@@ -32,12 +32,19 @@ def _reduced(fn: str, background: float | None) -> Column:
     }[fn]
 
 
-def materialize(
+def _reduced_runs(pieces: DataFrame, value: Column, width: int) -> DataFrame:
+    """row, col_start, col_end, value: reduced over all pieces at each place, as runs of equal values."""
+    cut = elementary(pieces, width).groupBy("row", "block", "col_start", "col_end").agg(value.alias("value"))
+    return value_runs(cut, ["value"])
+
+
+def materialize_runs(
     r: BurnResult, values: DataFrame | None = None, fn: str = "last", edge_policy: str = "threshold", threshold: float = 0.5,
-    background: float | None = None, check: bool = True,
+    background: float | None = None, check: bool = True, width: int = 4096,
 ) -> DataFrame:
-    """row, col, value of the cells that polygons touch. values: id, value (default: the id); boundary cells count whole from a share of ``threshold``, or by their share ("fraction").
+    """row, col_start, col_end, value of the cells that polygons touch, as runs of equal values. values: id, value (default: the id); boundary cells count whole from a share of ``threshold``, or by their share ("fraction").
 
+    Rows are made for the ends of runs, not for their cells. A run of values ends where a block of ``width`` columns does.
     check: refuse lines and points (one job over the kinds of the input), as their measures are no shares.
     """
     if fn not in FUNCTIONS:
@@ -50,35 +57,42 @@ def materialize(
             raise ValueError(f"mixed geometry kinds ({', '.join(found)}); burn each kind on its own")
         if found and found != ["polygon"]:
             raise NotImplementedError(f"only polygons are materialised by this function, not {found[0]}s")
-    cells = measures(r).where("rank <= 1")
+    spans = r.spans().withColumn("rank", F.when(F.col("share") == 1, 0).otherwise(1))
     if edge_policy == "threshold":
-        cells = cells.where((F.col("rank") == 0) | (F.col("measure") >= threshold)).withColumn("measure", F.lit(1.0))
+        spans = spans.where((F.col("rank") == 0) | (F.col("share") >= threshold))
     if values is None:
-        cells = cells.withColumn("value", F.col("id").cast("double"))
+        spans = spans.withColumn("value", F.col("id").cast("double"))
     else:
         given = values.select("id", F.col("value").cast("double").alias("given"), F.lit(True).alias("known"))
-        cells = cells.join(given, "id", "left").withColumn("value", F.when(F.col("known"), F.col("given")).otherwise(F.raise_error(F.concat(F.lit("no value for geometry id "), F.col("id").cast("string"))).cast("double")))
-    weigh = (F.col("rank") == 1) if edge_policy == "fraction" else F.lit(False)
-    cells = cells.withColumn("value", F.when(weigh, F.col("value") * F.col("measure")).otherwise(F.col("value")))
-    return cells.groupBy("row", "col").agg(_reduced(fn, background).alias("value"))
+        spans = spans.join(given, "id", "left").withColumn("value", F.when(F.col("known"), F.col("given")).otherwise(F.raise_error(F.concat(F.lit("no value for geometry id "), F.col("id").cast("string"))).cast("double")))
+    if edge_policy == "fraction":
+        spans = spans.withColumn("value", F.col("value") * F.col("share"))
+    return _reduced_runs(spans.select("row", "col_start", "col_end", "rank", "id", "part", "value"), _reduced(fn, background), width)
 
 
-def materialize_chunk(r: BurnResult, fun: str = "sum", check: bool = True) -> DataFrame:
-    """row, col, value of all tables: the sum of measures of one kind, or the id written last (runs, edges, lines, points)."""
+def materialize(r: BurnResult, values: DataFrame | None = None, fn: str = "last", edge_policy: str = "threshold", threshold: float = 0.5, background: float | None = None, check: bool = True) -> DataFrame:
+    """row, col, value: :func:`materialize_runs` with one row for each cell."""
+    return by_cell(materialize_runs(r, values, fn, edge_policy, threshold, background, check), "value")
+
+
+def chunk_runs(r: BurnResult, fun: str = "sum", check: bool = True, background: float = 0.0, width: int = 4096) -> DataFrame:
+    """row, col_start, col_end, value of all tables: background and the sum of measures of one kind, or the id written last (runs, edges, lines, points)."""
     if fun not in ("sum", "id"):
         raise ValueError("fun must be 'sum' or 'id'")
-    if fun == "id":
-        return measures(r).groupBy("row", "col").agg(F.max_by("id", F.struct("rank", "id")).cast("double").alias("value"))
-    if check:
+    if fun == "sum" and check:
         check_single_kind(r, "the sum")
-    return measures(r).groupBy("row", "col").agg(F.sum("measure").alias("value"))
+    value = F.max_by("id", F.struct("rank", "id")).cast("double") if fun == "id" else F.lit(float(background)) + F.sum("measure")
+    return _reduced_runs(pieces(r).drop("part"), value, width)
+
+
+def materialize_chunk(r: BurnResult, fun: str = "sum", check: bool = True) -> DataFrame:
+    """row, col, value: :func:`chunk_runs` with one row for each cell."""
+    return by_cell(chunk_runs(r, fun, check), "value")
 
 
 def materialize_all(r: BurnResult, background: float = 0.0, allow_mixed: bool = False) -> DataFrame:
     """row, col, value: background plus the sum of all measures of each touched cell."""
-    if not allow_mixed:
-        check_single_kind(r, "the sum")
-    return measures(r).groupBy("row", "col").agg((F.lit(float(background)) + F.sum("measure")).alias("value"))
+    return by_cell(chunk_runs(r, "sum", not allow_mixed, background), "value")
 
 
 def to_numpy(cells: DataFrame, grid: Grid, background: float = float("nan")) -> np.ndarray:
@@ -99,18 +113,9 @@ def from_dense(raster: DataFrame, id_column: str = "value") -> DataFrame:
 
 
 def tiled(r: BurnResult, size: int = 2048) -> DataFrame:
-    """tile_row, tile_col, rank, row, col_start, col_end, id, measure: all tables with runs cut at the borders of tiles. Empty tiles have no rows."""
-    at = lambda c: F.floor((F.col(c) - 1) / size).cast("int")
-    whole = r.runs if r.cells is None else r.cells.where("share = 1")
-    runs = whole.withColumn("tile_col", F.explode(F.sequence(at("col_start"), at("col_end"))))
-    runs = runs.select(
-        tile_of(F.col("row"), size).alias("tile_row"), "tile_col", F.lit(0).alias("rank"), "row", F.greatest(F.col("col_start"), F.col("tile_col") * size + 1).alias("col_start"),
-        F.least(F.col("col_end"), (F.col("tile_col") + 1) * size).alias("col_end"), "id", F.lit(1.0).alias("measure"),
-    )
-    cells = measures(r, expand=False).select(
-        tile_of(F.col("row"), size).alias("tile_row"), tile_of(F.col("col"), size).alias("tile_col"), "rank", "row", F.col("col").alias("col_start"), F.col("col").alias("col_end"), "id", "measure"
-    )
-    return runs.unionByName(cells)
+    """tile_row, tile_col, rank, row, col_start, col_end, id, part, measure: all tables with runs cut at the borders of tiles. Empty tiles have no rows."""
+    cut = in_blocks(pieces(r), size)
+    return cut.select(tile_of(F.col("row"), size).alias("tile_row"), F.col("block").alias("tile_col"), "rank", "row", "col_start", "col_end", "id", "part", "measure")
 
 
 def tile_index(r: BurnResult, size: int = 2048) -> DataFrame:
@@ -118,20 +123,20 @@ def tile_index(r: BurnResult, size: int = 2048) -> DataFrame:
     return tiled(r, size).groupBy("tile_row", "tile_col").agg(F.sum(F.col("col_end") - F.col("col_start") + 1).alias("cells"))
 
 
-def write_tiles(r: BurnResult, path: str, size: int = 2048) -> None:
-    """Parquet, in one folder for each tile that has anything."""
-    tiled(r, size).repartition("tile_row", "tile_col").write.partitionBy("tile_row", "tile_col").parquet(path)
-
-
 def dense_tiles(r: BurnResult, size: int = 256) -> DataFrame:
-    """tile_row, tile_col, values: the ids written last in each tile that has anything, as a row-major array of size * size doubles (NaN where there is none)."""
+    """tile_row, tile_col, values: the ids written last in each tile that has anything, as a row-major array of size * size doubles (NaN where there is none).
+
+    What is written last is found before, on runs, so a tile's task holds each cell once however many geometries overlap there.
+    """
 
     def block(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        out = np.full((size, size), np.nan)
-        rows = rows.sort_by([("rank", "ascending"), ("id", "ascending")])
-        for row, a, b, i in zip(*(rows[c].to_pylist() for c in ("row", "col_start", "col_end", "id")), strict=True):
-            out[(row - 1) % size, (a - 1) % size : (b - 1) % size + 1] = i
-        values = pa.ListArray.from_arrays(pa.array([0, size * size], pa.int32()), pa.array(out.ravel()))
+        row, a, b, v = (rows[c].to_numpy() for c in ("row", "col_start", "col_end", "value"))
+        many = b - a + 1
+        at = np.repeat((row - 1) % size * size + (a - 1) % size - np.cumsum(many) + many, many) + np.arange(many.sum())
+        out = np.full(size * size, np.nan)
+        out[at] = np.repeat(v, many)
+        values = pa.ListArray.from_arrays(pa.array([0, size * size], pa.int32()), pa.array(out))
         return pa.table({"tile_row": pa.array([key[0].as_py()], pa.int32()), "tile_col": pa.array([key[1].as_py()], pa.int32()), "values": values})
 
-    return tiled(r, size).groupBy("tile_row", "tile_col").applyInArrow(block, "tile_row int, tile_col int, values array<double>")
+    cut = in_blocks(chunk_runs(r, "id"), size).withColumn("tile_row", tile_of(F.col("row"), size))
+    return cut.select("tile_row", F.col("block").alias("tile_col"), "row", "col_start", "col_end", "value").groupBy("tile_row", "tile_col").applyInArrow(block, "tile_row int, tile_col int, values array<double>")

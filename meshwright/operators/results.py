@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshwright.functions.cells import center_x, center_y, col_of, inside, row_of
 from meshwright.operators.burn import BurnResult
+from meshwright.operators.polygons import TOLERANCE, merged_runs
 from meshwright.plans.grid import Grid
 
 _KIND_TABLES = {"polygon": ("runs", "edges"), "line": ("lines",), "point": ("points",)}
@@ -36,15 +37,16 @@ def crop(r: BurnResult, bounds: tuple[float, float, float, float]) -> BurnResult
     window = r.grid.window(*bounds)
     if window is None:
         warnings.warn("the target extent does not overlap the grid", stacklevel=2)
-        return r.with_tables(**{n: t.limit(0) for n, t in r.tables().items()})
+        return r.with_tables(**{n: t.limit(0) for n, t in (*r.tables().items(), ("cells", r.spans()))})
     row_lo, row_hi, col_lo, col_hi = window
     row = (F.col("row") - (row_lo - 1)).alias("row")
     rows = F.col("row").between(row_lo, row_hi)
-    runs = r.runs.where(rows & (F.col("col_end") >= col_lo) & (F.col("col_start") <= col_hi)).select(
-        row, (F.greatest("col_start", F.lit(col_lo)) - (col_lo - 1)).alias("col_start"), (F.least("col_end", F.lit(col_hi)) - (col_lo - 1)).alias("col_end"), "id"
-    )
+    def clipped(t: DataFrame) -> DataFrame:
+        ends = {"col_start": F.greatest("col_start", F.lit(col_lo)) - (col_lo - 1), "col_end": F.least("col_end", F.lit(col_hi)) - (col_lo - 1)}
+        return t.where(rows & (F.col("col_end") >= col_lo) & (F.col("col_start") <= col_hi)).select(row, *(ends[c].alias(c) if c in ends else c for c in t.columns[1:]))
+
     cells = lambda t: t.where(rows & F.col("col").between(col_lo, col_hi)).select(row, (F.col("col") - (col_lo - 1)).alias("col"), *t.columns[2:])
-    return r.with_tables(r.grid.sub(*window), runs=runs, edges=cells(r.edges), lines=cells(r.lines), points=cells(r.points))
+    return r.with_tables(r.grid.sub(*window), runs=clipped(r.runs), edges=cells(r.edges), lines=cells(r.lines), points=cells(r.points), cells=clipped(r.spans()))
 
 
 def expand_runs(runs: DataFrame) -> DataFrame:
@@ -62,35 +64,39 @@ def to_coo(r: BurnResult, kind: str = "polygon") -> DataFrame:
     return zero(r.lines, F.col("length")) if kind == "line" else zero(r.points, F.lit(1.0))
 
 
-def measures(r: BurnResult, expand: bool = True) -> DataFrame:
-    """rank, row, col, id, measure of all tables in write order (runs, edges, lines, points)."""
-    cell = lambda t, k, m: t.select(F.lit(k).alias("rank"), "row", "col", "id", m.alias("measure"))
-    if expand and r.cells is not None:
-        each = r.cells.select("row", "id", "share", F.explode(F.sequence("col_start", "col_end")).alias("col"))
-        tables = [each.select(F.when(F.col("share") == 1, 0).otherwise(1).alias("rank"), "row", F.col("col").cast("int").alias("col"), "id", F.col("share").alias("measure"))]
-    else:
-        tables = [cell(expand_runs(r.runs), 0, F.lit(1.0))] if expand else []
-        tables += [cell(r.edges, 1, F.col("fraction"))]
-    tables += [cell(r.lines, 2, F.col("length")), cell(r.points, 3, F.lit(1.0))]
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
+def pieces(r: BurnResult) -> DataFrame:
+    """rank, row, col_start, col_end, id, part, measure of all tables in write order (rank: runs, edges, lines, points); each burn table is read once."""
+    share = F.when(F.col("share") == 1, 0).otherwise(1)
+    out = r.spans().select(share.alias("rank"), "row", "col_start", "col_end", "id", "part", F.col("share").alias("measure"))
+    for k, (t, m) in enumerate(((r.lines, F.col("length")), (r.points, F.lit(1.0))), 2):
+        out = out.unionByName(t.select(F.lit(k).alias("rank"), "row", F.col("col").alias("col_start"), F.col("col").alias("col_end"), "id", F.lit(0).alias("part"), m.cast("double").alias("measure")))
     return out
 
 
-def hits(r: BurnResult, queries: DataFrame, bucket: int = 1024) -> DataFrame:
+def measures(r: BurnResult) -> DataFrame:
+    """rank, row, col, id, measure: :func:`pieces` with one row for each cell."""
+    each = pieces(r).select("rank", "row", F.explode(F.sequence("col_start", "col_end")).alias("col"), "id", "measure")
+    return each.select("rank", "row", F.col("col").cast("int").alias("col"), "id", "measure")
+
+
+def in_blocks(spans: DataFrame, width: int) -> DataFrame:
+    """Spans cut where a block of ``width`` columns ends, with the 0-based block: what has to meet by place is then joined or grouped by (row, block), so a row of very many spans is many keys."""
+    at = lambda c: F.floor((F.col(c) - 1) / width).cast("int")
+    one = at("col_start") == at("col_end")
+    cut = spans.withColumn("block", F.explode(F.when(one, F.array(at("col_start"))).otherwise(F.sequence(at("col_start"), at("col_end")))))
+    return cut.withColumns({"col_start": F.greatest("col_start", F.col("block") * width + 1), "col_end": F.least("col_end", (F.col("block") + 1) * width)})
+
+
+def hits(r: BurnResult, queries: DataFrame, width: int = 1024) -> DataFrame:
     """qi, rank, id, measure of all entries at the cells of query points (qi, x, y) inside the extent.
 
-    Runs are joined by row and column bucket, so a row with very many runs is no single key, and the interval test is what
-    remains; each run stands in as many buckets as it is long.
+    Entries are joined by row and block of columns, and the interval test is what remains.
     """
     x, y = F.col("x"), F.col("y")
     q = queries.where(inside(r.grid, x, y)).select("qi", row_of(r.grid, y).alias("row"), col_of(r.grid, x).alias("col"))
-    at = lambda c: F.floor((F.col(c) - 1) / bucket)
-    runs = r.runs.withColumn("b", F.explode(F.sequence(at("col_start"), at("col_end"))))
-    by_run = q.withColumn("b", at("col")).join(runs, ["row", "b"]).where("col BETWEEN col_start AND col_end")
-    by_run = by_run.select("qi", F.lit(0).alias("rank"), "id", F.lit(1.0).alias("measure"))
-    return by_run.unionByName(q.join(measures(r, expand=False), ["row", "col"]).select("qi", "rank", "id", "measure"))
+    q = q.withColumn("block", F.floor((F.col("col") - 1) / width).cast("int"))
+    found = q.join(in_blocks(pieces(r), width), ["row", "block"]).where("col BETWEEN col_start AND col_end")
+    return found.select("qi", "rank", "id", "measure")
 
 
 def extract(r: BurnResult, queries: DataFrame, fun: str = "id", check: bool = True) -> DataFrame:
@@ -110,10 +116,7 @@ def extract(r: BurnResult, queries: DataFrame, fun: str = "id", check: bool = Tr
 def covered_area(r: BurnResult, by_id: bool = False) -> DataFrame:
     """covered_area, in all or for each id, from runs and edges."""
     many = (F.col("col_end") - F.col("col_start") + 1).cast("double")
-    if r.cells is not None:
-        both = r.cells.select("id", (many * F.col("share")).alias("cells"))
-    else:
-        both = r.runs.select("id", many.alias("cells")).unionByName(r.edges.select("id", F.col("fraction").alias("cells")))
+    both = r.spans().select("id", (many * F.col("share")).alias("cells"))
     total = (F.lit(r.grid.cell_area) * F.coalesce(F.sum("cells"), F.lit(0.0))).alias("covered_area")
     return both.groupBy("id").agg(total) if by_id else both.agg(total)
 
@@ -129,10 +132,57 @@ def point_counts(r: BurnResult) -> DataFrame:
     return r.points.groupBy("row", "col").agg(F.count("*").alias("n"))
 
 
+def elementary(spans: DataFrame, width: int = 4096) -> DataFrame:
+    """Spans (row, col_start, col_end, further columns) cut at every end of any span of their row, so that two of the results are equal in place or apart.
+
+    A row's ends are gathered by block of ``width`` columns, so no more than width + 1 of them are held together. How many
+    rows come out depends on how many spans overlap, not on how long they are. Adds block; a span is also cut where a block ends.
+    """
+    cut = in_blocks(spans, width).withColumn("past", F.col("col_end") + 1).drop("col_end")
+    ends = cut.select("row", "block", F.explode(F.array("col_start", "past")).alias("end")).groupBy("row", "block").agg(F.sort_array(F.collect_set("end")).alias("ends"))
+    both = cut.join(ends, ["row", "block"])
+    first, last = F.array_position("ends", F.col("col_start")), F.array_position("ends", F.col("past"))
+    many = (last - first).cast("int")
+    between = F.arrays_zip(F.slice("ends", first.cast("int"), many).alias("a"), F.slice("ends", first.cast("int") + 1, many).alias("b"))
+    rest = [c for c in both.columns if c not in ("col_start", "past", "ends")]
+    out = both.select(*rest, F.explode(between).alias("s"))
+    return out.select(*rest, F.col("s.a").alias("col_start"), (F.col("s.b") - 1).alias("col_end"))
+
+
+def largest_share(r: BurnResult, width: int = 4096) -> DataFrame:
+    """row, col_start, col_end, id, share: the polygon with the largest share of each cell that any touches, as runs; shares of a geometry's parts are added, and the smaller id wins a tie."""
+    cut = elementary(r.spans().drop("part"), width)
+    of = cut.groupBy("row", "block", "col_start", "col_end", "id").agg(F.sum("share").alias("share"))
+    best = of.groupBy("row", "block", "col_start", "col_end").agg(F.max("share").alias("share"), F.min_by("id", F.struct(-F.col("share"), F.col("id"))).alias("id"))
+    return value_runs(best, ["id", "share"])
+
+
+def value_runs(pieces: DataFrame, values: list[str]) -> DataFrame:
+    """row, col_start, col_end and values of disjoint pieces (row, block, col_start, col_end, values): neighbours of equal values in one block become one run."""
+    order = Window.partitionBy("row", "block").orderBy("col_start")
+    same = (F.lag("col_end").over(order) + 1).eqNullSafe(F.col("col_start"))
+    for v in values:
+        same = same & F.lag(v).over(order).eqNullSafe(F.col(v))
+    rows = pieces.select("row", "block", "col_start", *values, same.alias("same"), F.lag("col_end").over(order).alias("left"), F.max("col_end").over(Window.partitionBy("row", "block")).alias("end"))
+    starts = rows.where("NOT same")
+    return starts.select("row", "col_start", F.coalesce(F.lead("left").over(order), F.col("end")).alias("col_end"), *values)
+
+
+def coverage_runs(r: BurnResult, width: int = 4096) -> DataFrame:
+    """row, col_start, col_end, coverage: the sum of shares of all polygons, as runs of equal sums."""
+    sums = elementary(r.spans().select("row", "col_start", "col_end", "share"), width).groupBy("row", "block", "col_start", "col_end").agg(F.sum("share").alias("coverage"))
+    return value_runs(sums, ["coverage"])
+
+
 def coverage_sums(r: BurnResult) -> DataFrame:
     """row, col, coverage: the sum of shares of all polygons in each cell; 1 where they tile the plane."""
-    cells = measures(r).where("rank <= 1")
-    return cells.groupBy("row", "col").agg(F.sum("measure").alias("coverage"))
+    return by_cell(coverage_runs(r), "coverage")
+
+
+def by_cell(runs: DataFrame, *values: str) -> DataFrame:
+    """row, col and values: one row for each cell of runs."""
+    each = runs.select("row", F.explode(F.sequence("col_start", "col_end")).alias("col"), *values)
+    return each.withColumn("col", F.col("col").cast("int"))
 
 
 def ids(r: BurnResult) -> DataFrame:
@@ -167,17 +217,122 @@ def cell_centers(cells: DataFrame, grid: Grid) -> DataFrame:
     return cells.withColumns({"x": center_x(grid, F.col("col")), "y": center_y(grid, F.col("row"))})
 
 
-def zonal(r: BurnResult, raster: DataFrame, weights: bool = True) -> DataFrame:
-    """id, weight, total, mean of a raster (row, col, value) over each polygon, by coverage; weights=False takes boundary cells only."""
-    cells = measures(r).where("rank <= 1" if weights else "rank = 1").select("row", "col", "id", F.col("measure").alias("w"))
-    joined = cells.join(raster.where("value IS NOT NULL"), ["row", "col"])
-    return joined.groupBy("id").agg(F.sum("w").alias("weight"), F.sum(F.col("w") * F.col("value")).alias("total")).withColumn("mean", F.col("total") / F.col("weight"))
+def cumulative(raster: DataFrame, ncol: int, width: int = 256) -> DataFrame:
+    """row, block, base, entries of a raster (row, col, value): what its running sum is up to a column, in blocks of ``width`` columns.
+
+    An entry (at, total, n, odd) holds the sum of finite values, the number of values and that of NaN and infinite ones from
+    a block's start to its column number ``at``; base (total, n, odd) is what is left of the block. From a row's first block on
+    there are all blocks, so a lookup is an equality join.
+    """
+    finite = ~F.isnan("value") & (F.abs("value") < float("inf"))
+    sums = {"total": F.sum(F.when(finite, F.col("value").cast("double")).otherwise(0.0)), "n": F.count("*"), "odd": F.count(F.when(~finite, True))}
+    cells = raster.where("value IS NOT NULL").groupBy("row", "col").agg(*(v.alias(c) for c, v in sums.items()))
+    cells = cells.withColumn("block", F.floor((F.col("col") - 1) / width).cast("int"))
+    order = Window.partitionBy("row", "block").orderBy("col")
+    entry = F.struct((F.col("col") - F.col("block") * width).cast("int").alias("at"), *(F.sum(c).over(order).alias(c) for c in sums))
+    blocks = cells.select("row", "block", entry.alias("e")).groupBy("row", "block").agg(F.sort_array(F.collect_list("e")).alias("entries"))
+    along = Window.partitionBy("row").orderBy("block")
+    last = F.element_at("entries", -1)
+    upto = F.struct(*(F.sum(last[c]).over(along).alias(c) for c in sums))
+    left = F.struct(*(F.coalesce(F.sum(last[c]).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("double" if c == "total" else "long")).alias(c) for c in sums))
+    blocks = blocks.select("row", "block", "entries", upto.alias("upto"), left.alias("left"), F.coalesce(F.lead("block").over(along), F.lit(-(-ncol // width))).alias("until"))
+    every = blocks.withColumn("b", F.explode(F.sequence("block", F.greatest(F.col("until") - 1, F.col("block")))))
+    own = F.col("b") == F.col("block")
+    return every.select("row", F.col("b").alias("block"), F.when(own, F.col("left")).otherwise(F.col("upto")).alias("base"), F.when(own, F.col("entries")).otherwise(F.slice("entries", 1, 0)).alias("entries"))
+
+
+def _running(spans: DataFrame, table: DataFrame, col: Column, name: str, width: int) -> DataFrame:
+    """Adds, as a struct, what :func:`cumulative` has up to a column of each span's row."""
+    asked = spans.withColumns({"col__": col, "block": F.floor((col - 1) / width).cast("int")})
+    found = asked.join(table, ["row", "block"], "left")
+    k = F.size(F.filter("entries", lambda e: e["at"] <= F.col("col__") - F.col("block") * width))
+    inside = F.when(k > 0, F.element_at("entries", k))
+    value = F.struct(*(F.coalesce(F.col("base")[c] + F.coalesce(inside[c], F.lit(0)), F.lit(0)).alias(c) for c in ("total", "n", "odd")))
+    return found.withColumn(name, value).select(*spans.columns, name)
+
+
+def zonal(r: BurnResult, raster: DataFrame, weights: bool = True, width: int = 256) -> DataFrame:
+    """id, weight, total, mean of a raster (row, col, value) over each polygon, by coverage; weights=False takes boundary cells only.
+
+    Each span of cells takes two running sums of the raster's row, so it costs two rows however long it is. A NaN or infinite
+    value under a polygon makes its total NaN.
+    """
+    table = cumulative(raster, r.grid.ncol, width)
+    spans = r.spans().select("row", "col_start", "col_end", "id", "share")
+    spans = spans if weights else spans.where("share < 1")
+    spans = _running(_running(spans, table, F.col("col_end"), "upto", width), table, F.col("col_start") - 1, "left", width)
+    own = {c: F.col("upto")[c] - F.col("left")[c] for c in ("total", "n", "odd")}
+    weight, total = F.sum(F.col("share") * own["n"]), F.when(F.sum(own["odd"]) > 0, F.lit(float("nan"))).otherwise(F.sum(F.col("share") * own["total"]))
+    return spans.groupBy("id").agg(weight.alias("weight"), total.alias("total")).where("weight > 0").withColumn("mean", F.col("total") / F.col("weight"))
+
+
+def overlay_runs(one: BurnResult, two: BurnResult, width: int = 256) -> DataFrame:
+    """row, col_start, col_end, id_1, id_2, measure_1, measure_2: the runs of cells that entries of two burns of one grid share.
+
+    Entries meet by row and block of columns and are intersected as intervals; a run longer than a block comes in pieces.
+    """
+    side = lambda r, k: in_blocks(pieces(r), width).select("row", "block", F.col("col_start").alias(f"a{k}"), F.col("col_end").alias(f"b{k}"), F.col("id").alias(f"id_{k}"), F.col("measure").alias(f"measure_{k}"))
+    both = side(one, 1).join(side(two, 2), ["row", "block"]).where("a1 <= b2 AND a2 <= b1")
+    return both.select("row", F.greatest("a1", "a2").alias("col_start"), F.least("b1", "b2").alias("col_end"), "id_1", "id_2", "measure_1", "measure_2")
 
 
 def overlay(one: BurnResult, two: BurnResult) -> DataFrame:
     """row, col, id_1, id_2, measure_1, measure_2 of the cells that two burns of one grid share."""
-    side = lambda r, k: measures(r).select("row", "col", F.col("id").alias(f"id_{k}"), F.col("measure").alias(f"measure_{k}"))
-    return side(one, 1).join(side(two, 2), ["row", "col"])
+    return by_cell(overlay_runs(one, two), "id_1", "id_2", "measure_1", "measure_2")
+
+
+def overlay_areas(one: BurnResult, two: BurnResult) -> DataFrame:
+    """id_1, id_2, cells, weight: of each two polygons with cells in common, how many these are and the sum of the products of their shares. No row is made for a cell."""
+    many = (F.col("col_end") - F.col("col_start") + 1).cast("long")
+    return overlay_runs(one, two).groupBy("id_1", "id_2").agg(F.sum(many).alias("cells"), F.sum(many * F.col("measure_1") * F.col("measure_2")).alias("weight"))
+
+
+def moved(r: BurnResult, grid: Grid) -> BurnResult:
+    """A burn on another aligned grid of the same cell size: entries move by whole rows and columns, and what lies beyond the grid is cut off."""
+    down, right = _offsets(r.grid, grid)
+    row = (F.col("row") - down).cast("int").alias("row")
+    rows = (F.col("row") - down).between(1, grid.nrow)
+
+    def runs(t: DataFrame) -> DataFrame:
+        a, b = F.greatest(F.col("col_start") - right, F.lit(1)).cast("int"), F.least(F.col("col_end") - right, F.lit(grid.ncol)).cast("int")
+        return t.where(rows & (a <= b)).select(row, a.alias("col_start"), b.alias("col_end"), *t.columns[3:])
+
+    col = F.col("col") - right
+    cells = lambda t: t.where(rows & col.between(1, grid.ncol)).select(row, col.cast("int").alias("col"), *t.columns[2:])
+    return r.with_tables(grid, runs=runs(r.runs), edges=cells(r.edges), lines=cells(r.lines), points=cells(r.points), cells=runs(r.spans()))
+
+
+def _offsets(one: Grid, two: Grid) -> tuple[int, int]:
+    if not one.compatible_with(two):
+        raise ValueError("the grids don't line up")
+    return one.offsets(two)
+
+
+def coarsened(r: BurnResult, factor: int, width: int = 4096) -> BurnResult:
+    """A coverage burn on a grid of cells ``factor`` times as wide and high, whose rows and columns the factor must divide; shares are averaged and lengths added.
+
+    A long run is one run of coarse cells and two ends, so this costs the boundary and the rows.
+    """
+    g = r.grid
+    if factor < 1 or g.nrow % factor or g.ncol % factor:
+        raise ValueError("the factor must divide the grid's rows and columns")
+    grid = Grid(*g.bounds, g.ncol // factor, g.nrow // factor)
+    up = lambda c: (F.floor((F.col(c) - 1) / factor) + 1).cast("int")
+    wide = r.spans().select(up("row").alias("row"), "col_start", "col_end", "share", "part", "id")
+    a, b = up("col_start"), up("col_end")
+    part = lambda lo, hi, n: F.struct(lo.cast("int").alias("col_start"), hi.cast("int").alias("col_end"), (F.col("share") * n / float(factor * factor)).alias("share"))
+    first = F.least(F.col("col_end"), a * factor) - F.col("col_start") + 1
+    last = F.col("col_end") - (b - 1) * factor
+    ends = F.when(a == b, F.array(part(a, a, F.col("col_end") - F.col("col_start") + 1))).otherwise(F.array(part(a, a, first), part(a + 1, b - 1, F.lit(factor)), part(b, b, last)))
+    spans = wide.select("row", "part", "id", F.explode(ends).alias("s")).select("row", "part", "id", "s.*").where("col_start <= col_end")
+    cut = elementary(spans, width).groupBy("id", "part", "row", "block", "col_start", "col_end").agg(F.sum("share").alias("share"))
+    whole = F.when(F.col("share") >= 1 - TOLERANCE, F.lit(1.0)).otherwise(F.col("share"))
+    cells = cut.select("row", "col_start", "col_end", whole.alias("share"), "part", "id")
+    zero = cells.where("share = 1").select("id", "part", (F.col("row") - 1).alias("row"), (F.col("col_start") - 1).alias("col_start"), (F.col("col_end") - 1).alias("col_end"))
+    edges = by_cell(cells.where("share < 1"), "share", "id").select("row", "col", F.col("share").alias("fraction"), "id")
+    lines = r.lines.groupBy(up("row").alias("row"), up("col").alias("col"), "id").agg(F.sum("length").alias("length")).select("row", "col", "length", "id")
+    points = r.points.select(up("row").alias("row"), up("col").alias("col"), "id")
+    return r.with_tables(grid, runs=merged_runs(zero, grid.ncol), edges=edges, lines=lines, points=points, cells=cells)
 
 
 def raster_values(raster: DataFrame, expression: Column) -> DataFrame:

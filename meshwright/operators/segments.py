@@ -2,7 +2,8 @@
 
 Everything is a chain of explodes and arithmetic: one row a segment, then one a (segment, row), then one a (segment, row,
 column). Segments are clipped to the grid's rows and to one column beside it on either side before the explodes, so a
-geometry far larger than the grid costs no more than the cells it crosses. A polygon of any size is spread over tasks.
+geometry far larger than the grid costs no more than the cells it crosses. Rings come in chunks of vertices, so one polygon
+can be many rows, in many tasks.
 """
 
 from __future__ import annotations
@@ -29,26 +30,34 @@ def segments(geometries: DataFrame) -> DataFrame:
 
 
 def ring_segments(rings: DataFrame) -> DataFrame:
-    """Weighted segments of rings and lines (id, kind, part, ring, c), c an array of x, y: the turn of a ring is taken from the array, before it is exploded."""
+    """Weighted segments of rings and lines (id, kind, part, ring, c), c an array of x, y.
+
+    The turn of a ring is taken once: it is exploded together with the array, as Spark would else compute it again for each
+    segment. Rings of very many vertices are better decoded in chunks (:func:`chunk_segments`).
+    """
     turn = F.when(signed_area(F.col("c")) > 0, 1).otherwise(-1) * F.when(F.col("ring") == 0, 1).otherwise(-1)
+    whole = F.struct(F.when(F.col("kind") == "polygon", turn).alias("w"), "c")
+    once = rings.select("id", "kind", "part", "ring", F.explode(F.array(whole)).alias("s")).select("id", "kind", "part", "ring", "s.w", "s.c")
+    return _paired(once.withColumn("first", F.lit(0)))
+
+
+def chunk_segments(chunks: DataFrame) -> DataFrame:
+    """Weighted segments of vertex chunks, see :func:`meshwright.sources.wkb.chunks_from_wkb`. Rings without a weight aren't burnt."""
+    burnt = chunks.where("(kind = 'line' OR (kind = 'polygon' AND w <> 0)) AND size(c) >= 2")
+    return _paired(burnt.select("id", "kind", "part", "ring", F.when(F.col("kind") == "polygon", F.col("w")).alias("w"), "c", "first"))
+
+
+def _paired(rows: DataFrame) -> DataFrame:
+    """Segments of arrays c, numbered from ``first``."""
     n = F.size("c")
     pairs = F.arrays_zip(F.slice("c", F.lit(1), n - 1).alias("a"), F.slice("c", F.lit(2), n - 1).alias("b"))
-    rows = rings.select("id", "kind", "part", "ring", F.when(F.col("kind") == "polygon", turn).alias("w"), F.posexplode(pairs).alias("seq", "s"))
-    return rows.select("id", "kind", "part", "ring", "seq", *(F.col(f"s.{e}.{c}").alias(f"{c}{k}") for k, e in enumerate("ab") for c in "xy"), "w")
-
-
-def weighted(plain: DataFrame) -> DataFrame:
-    """Segments given as columns (id, kind, part, ring, seq, x0, y0, x1, y1) with their winding weight, by one aggregation over rings."""
-    ring = plain.where("kind = 'polygon'").groupBy("id", "part", "ring").agg(
-        F.sum(F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")).alias("twice"), F.count("*").alias("n")
-    )
-    exterior = ring.where("ring = 0").select("id", "part", (F.col("n") >= 3).alias("whole"))
-    ring = ring.join(exterior, ["id", "part"]).where("whole AND n >= 3")
-    ring = ring.select("id", "part", "ring", (F.when(F.col("twice") > 0, 1).otherwise(-1) * F.when(F.col("ring") == 0, 1).otherwise(-1)).alias("w"))
-    polygons = plain.where("kind = 'polygon'").join(ring, ["id", "part", "ring"])
-    return polygons.unionByName(plain.where("kind = 'line'").withColumn("w", F.lit(None).cast("int"))).select(
-        "id", "kind", "part", "ring", "seq", "x0", "y0", "x1", "y1", "w"
-    )
+    each = rows.select("id", "kind", "part", "ring", "w", "first", F.posexplode(pairs).alias("at", "s"))
+    return each.select("id", "kind", "part", "ring", (F.col("first") + F.col("at")).alias("seq"), *(F.col(f"s.{e}.{c}").alias(f"{c}{k}") for k, e in enumerate("ab") for c in "xy"), "w")
+
+
+def chunk_points(chunks: DataFrame) -> DataFrame:
+    """id, x, y of all points of vertex chunks."""
+    return chunks.where("kind = 'point'").select("id", F.explode("c").alias("xy")).select("id", "xy.x", "xy.y")
 
 
 def points(geometries: DataFrame) -> DataFrame:

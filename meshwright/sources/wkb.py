@@ -150,6 +150,80 @@ def from_wkt(df: DataFrame, id: str = "id", wkt: str = "wkt") -> DataFrame:  # n
     return _decoded(df, id, wkt, parse_wkt)
 
 
+#: Vertices of a chunk, and of an Arrow batch of chunks.
+CHUNK, BATCH = 4096, 1 << 18
+#: What a chunk adds to a row. Chunks of a ring share a vertex; first is the number of a chunk's first segment, n the ring's vertices, w a
+#: polygon ring's winding weight (0: not burnt, for a ring or an exterior of less than four coordinates).
+CHUNKS = "kind string, error string, part int, ring int, first int, n int, w int, c array<struct<x:double,y:double>>"
+
+
+def turn(ring: np.ndarray) -> int:
+    """1 for a counter-clockwise ring, else -1; x and y are taken from the first vertex, for accuracy."""
+    x, y = (ring - ring[:1]).T
+    return 1 if len(ring) >= 3 and float(x[:-1] @ y[1:] - x[1:] @ y[:-1]) > 0 else -1
+
+
+def _chunks_of(id_: object, value: bytes | str | None, parse, size: int) -> Iterator[tuple]:  # noqa: ANN001
+    """The chunks of one geometry; one row without coordinates if it has none."""
+    kind, parts, error = None, [], None
+    if value:
+        try:
+            kind, parts = parse(value)
+        except GeometryError as e:
+            error = str(e)
+    none = True
+    for part, rings in enumerate(parts):
+        for k, ring in enumerate(rings):
+            w = None
+            if kind == "polygon":
+                w = turn(ring) * (1 if k == 0 else -1) if len(ring) >= 4 and len(rings[0]) >= 4 else 0
+            for at in range(0, max(1, len(ring) - 1), size):
+                none = False
+                yield id_, kind, None, part, k, at, len(ring), w, ring[at : at + size + 1]
+    if none:
+        yield id_, kind, error, None, None, None, None, None, None
+
+
+def _chunk_batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True))
+    types = [kind, pa.string(), pa.string(), *[pa.int32()] * 5]
+    xs = [r for r in columns[8] if r is not None]
+    xy = np.concatenate(xs) if xs else np.zeros((0, 2))
+    ends = np.cumsum([0, *(0 if r is None else len(r) for r in columns[8])])
+    points = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(xy[:, i])) for i in (0, 1)], names=["x", "y"])
+    c = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), points, mask=pa.array([r is None for r in columns[8]]))
+    return pa.RecordBatch.from_arrays([*(pa.array(v, t) for v, t in zip(columns[:8], types, strict=True)), c], names=["id", "kind", "error", "part", "ring", "first", "n", "w", "c"])
+
+
+def _chunked(df: DataFrame, id: str, column: str, parse, size: int) -> DataFrame:  # noqa: ANN001, A002
+    name = dict(df.dtypes)[id]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, vertices = [], 0
+            for i in range(b.num_rows):
+                for row in _chunks_of(b.column(0)[i].as_py(), b.column(1)[i].as_py(), parse, size):
+                    rows.append(row)
+                    vertices += 1 if row[8] is None else len(row[8])
+                    if vertices >= BATCH:
+                        yield _chunk_batch(rows, b.column(0).type)
+                        rows, vertices = [], 0
+            if rows:
+                yield _chunk_batch(rows, b.column(0).type)
+
+    return df.select(F.col(id).alias("id"), F.col(column)).mapInArrow(run, f"id {name}, {CHUNKS}")
+
+
+def chunks_from_wkb(df: DataFrame, id: str = "id", wkb: str = "wkb", size: int = CHUNK) -> DataFrame:  # noqa: A002
+    """Vertex chunks of each row's geometry, so that no row grows with it; the turn of a ring is found here, where the ring is whole. A null, empty or broken geometry keeps one row."""
+    return _chunked(df, id, wkb, parse_wkb, size)
+
+
+def chunks_from_wkt(df: DataFrame, id: str = "id", wkt: str = "wkt", size: int = CHUNK) -> DataFrame:  # noqa: A002
+    """As :func:`chunks_from_wkb`, from text."""
+    return _chunked(df, id, wkt, parse_wkt, size)
+
+
 def as_wkb_list(values: object) -> list[bytes | None]:
     """WKB of bytes, of objects with ``to_wkb`` or ``wkb`` (shapely, geopandas), or of a sequence of these and None."""
     if isinstance(values, (bytes, bytearray, memoryview)):
