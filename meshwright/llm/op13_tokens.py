@@ -31,15 +31,34 @@ from pyspark.sql import functions as F
 from meshwright.llm.common import as_bytes, spans, stored, table
 
 LIMIT, BLOCK_BYTES, SLICE_ROWS, STEP_PAIRS = 1024, 16 << 20, 256, 200_000
-SPECIAL = "<|endoftext|>"
+SPECIAL = b"<|endoftext|>"
 #: Bytes that may end a white-space character, and bytes that may begin one.
 _ENDS, _BEGINS = rb"\x09-\x0d\x1c-\x20\x80-\x8a\x9f\xa0\xa8\xa9\xaf", rb"\x09-\x0d\x1c-\x20\xc2\xe1\xe2\xe3"
 _RUN = re.compile(rb"[" + _ENDS + rb"][ \n](?:[" + _BEGINS + rb"]|\Z)")
-#: A unit of letters with punctuation behind it is two pre-tokens, and the letters keep the space before them.
-_PLAIN = re.compile(rb"( ?[A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
+#: A unit of Latin letters or digits, perhaps behind a line break or a space and opening punctuation, with punctuation behind it: each
+#: group is a pre-token. The apostrophe is left to the library.
+_LATIN, _MARKS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|[\xc4\xc5][\x80-\xbf])+", rb"[!-&(-/:-@\[-`{-~]"
+_PLAIN = re.compile(rb"(\n?)((?: ?" + _MARKS + rb"+)?)((?:(?<!" + _MARKS + rb") )?(?:" + _LATIN + rb"|[0-9]+))(" + _MARKS + rb"*)")
 STORED = "block long, words array<string>, ids array<long>, n_bytes array<long>, sizes array<int>, codes binary, counts binary"
 
 
+def byte_alphabet() -> list[str]:
+    """The character that byte-level vocabularies write for each byte: itself where it is printable, else the next one from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b if b in printable else next(rest)) for b in range(256)]
+
+
+_ALPHABET = dict(enumerate(byte_alphabet()))
+
+
+def written(raw: bytes) -> bytes:
+    """Bytes of letters, digits, marks, spaces and line breaks in the vocabulary's byte alphabet, as UTF-8."""
+    if raw.isascii():  # all printable but these two
+        return raw.replace(b" ", b"\xc4\xa0").replace(b"\n", b"\xc4\x8a")
+    return raw.decode("latin-1").translate(_ALPHABET).encode()
+
+
 def default_tokenizer() -> str:
     """The place of the public vocabulary on this machine."""
     import public_tokenizers
@@ -65,29 +84,28 @@ class Block:
 
     def __init__(self, split):  # noqa: ANN001
         self.split = split
-        self.words: dict[str, int] = {}
+        self.words: dict[bytes, int] = {}
         self.units: dict[bytes, int] = {}
         self.of_units: list[int] = []  # numbers of the pre-tokens of all units, one unit after another
         self.unit_ends: list[int] = [0]
         self.ids, self.n_bytes, self.pairs, self.waiting = [], [], [], 0
         self.codes, self.counts, self.sizes = [], [], []
 
-    def _unit(self, key: bytes, texts: Iterable[str]) -> int:
+    def _unit(self, key: bytes, texts: Iterable[bytes]) -> int:
         """The number of a unit that wasn't met before, from its pre-tokens."""
         self.of_units += [self.words.setdefault(t, len(self.words)) for t in texts]
         self.unit_ends.append(len(self.of_units))
         return self.units.setdefault(key, len(self.units))
 
-    def _pretokens(self, raw: bytes) -> list[str]:
+    def _pretokens(self, raw: bytes) -> list[bytes]:
         if plain := _PLAIN.fullmatch(raw):
-            letters = plain[1].decode().replace(" ", "Ġ")
-            return [letters, plain[2].decode()] if plain[2] else [letters]
-        return [w for w, _ in self.split(raw.decode("utf-8", "replace"))]
+            return [written(g) for g in plain.groups() if g]
+        return [w.encode() for w, _ in self.split(raw.decode("utf-8", "replace"))]
 
     def add(self, key: int | None, text: bytes) -> None:
         """One document. Units are kept by what follows the space they were cut at; a first unit by its text behind one space, a single pre-token by its text behind two."""
         counts: Counter = Counter()
-        parts = text.split(SPECIAL.encode())
+        parts = text.split(SPECIAL)
         alone = Counter({SPECIAL: len(parts) - 1}) if len(parts) > 1 else Counter()
         for part in parts:
             if _RUN.search(part):
@@ -101,7 +119,7 @@ class Block:
                 k = self.units.get(u)
                 counts[self._unit(u, self._pretokens(u if u[:1] == b"\n" else b" " + u)) if k is None else k] += n
         for w, n in alone.items():
-            name = b"  " + w.encode()
+            name = b"  " + w
             k = self.units.get(name)
             counts[self._unit(name, [w]) if k is None else k] += n
         self.ids.append(key)
@@ -112,7 +130,7 @@ class Block:
             self.settle()
 
     def settle(self) -> None:
-        """Turns units of the documents since the last call into pre-tokens, each once a document, in ascending order."""
+        """Turns units of the documents since the last call into pre-tokens, each once a document, in ascending order; then units are forgotten, so that only pre-tokens are held."""
         if not self.pairs:
             return
         ends, of = np.array(self.unit_ends), np.array(self.of_units, np.int64)
@@ -126,6 +144,7 @@ class Block:
         self.counts.append(np.bincount(place, np.repeat(times, many), len(key)).astype(np.int64))
         self.sizes.append(np.bincount(key >> 32, minlength=len(self.pairs)))
         self.pairs, self.waiting = [], 0
+        self.units, self.of_units, self.unit_ends = {}, [], [0]
 
     def row(self, number: int) -> pa.RecordBatch:
         """The stored row: sizes has how many pairs each document has; codes are differences of the numbers of pre-tokens, document after document."""
@@ -182,7 +201,7 @@ def frequencies(df: DataFrame, key: str, text: str, path: str | None, block_byte
 
 
 def piece_counts(words: DataFrame, path: str | None) -> DataFrame:
-    """block, code, pieces of the pre-tokens of all blocks (block, code, word). They come sorted, so each distinct one is split once."""
+    """block, codes, pieces of the pre-tokens of all blocks (block, code, word). They come sorted, so each distinct one is split once; those of a block that are met together share a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, last, n = tokenizer(path).model.tokenize, None, 0
@@ -190,23 +209,29 @@ def piece_counts(words: DataFrame, path: str | None) -> DataFrame:
             out = []
             for w in b.column("word").to_pylist():
                 if w != last:
-                    last, n = w, 1 if w == SPECIAL else len(split(w))
+                    last, n = w, 1 if w == SPECIAL.decode() else len(split(w))
                 out.append(n)
-            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("code"), pa.array(out, pa.int32())], names=["block", "code", "pieces"])
+            block = b.column("block").to_numpy()
+            order = np.argsort(block, kind="stable")
+            starts = np.flatnonzero(np.diff(block[order], prepend=-1))
+            ends = pa.array([*starts, len(order)], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(v[order], pa.int32())) for v in (b.column("code").to_numpy(), np.array(out))]
+            yield pa.RecordBatch.from_arrays([pa.array(block[order][starts]), *lists], names=["block", "codes", "pieces"])
 
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "block long, code int, pieces int")
+    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "block long, codes array<int>, pieces array<int>")
 
 
 def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer_path: str | None = None, limit: int = LIMIT) -> DataFrame:
     """key, n_bytes, n_tokens, over_limit of every document."""
     blocks = stored(frequencies(df, key, text, tokenizer_path))
     words = blocks.select("block", F.posexplode("words").alias("code", "word"))
-    pieces = piece_counts(words, tokenizer_path)
+    counted_pieces = piece_counts(words, tokenizer_path)
     result = f"`{key}` long, n_bytes long, n_tokens long, over_limit boolean"
 
     def summed(block: pa.Table, counted: pa.Table) -> pa.Table:
-        of = np.zeros(counted.num_rows, np.int64)
-        of[counted["code"].to_numpy()] = counted["pieces"].to_numpy()
+        numbers, pieces = (counted[c].combine_chunks().flatten().to_numpy() for c in ("codes", "pieces"))
+        of = np.zeros(len(numbers), np.int64)
+        of[numbers] = pieces
         (row,) = block.to_pylist()  # one block
         codes, counts, sizes = np.cumsum(unpacked(row["codes"])), unpacked(row["counts"]), np.array(row["sizes"], np.int64)
         total = np.concatenate([[0], np.cumsum(of[codes] * counts)])
@@ -215,7 +240,7 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", tokeniz
         return pa.table({key: pa.array(row["ids"], pa.int64()), "n_bytes": pa.array(row["n_bytes"], pa.int64()), "n_tokens": tokens, "over_limit": tokens > limit})
 
     of_documents = blocks.select("block", "ids", "n_bytes", "sizes", "codes", "counts").groupBy("block")
-    return of_documents.cogroup(pieces.groupBy("block")).applyInArrow(summed, result)
+    return of_documents.cogroup(counted_pieces.groupBy("block")).applyInArrow(summed, result)
 
 
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
