@@ -150,9 +150,9 @@ def elementary(spans: DataFrame, width: int = 4096) -> DataFrame:
 
 
 def largest_share(r: BurnResult, width: int = 4096) -> DataFrame:
-    """row, col_start, col_end, id, share: the polygon with the largest share of each cell that any touches, as runs; shares of a geometry's parts are added, and the smaller id wins a tie."""
+    """row, col_start, col_end, id, share: the polygon with the largest share of each cell that any touches, as runs; shares of a geometry's parts are added, and the smaller id wins a tie (shares that are equal to nine places)."""
     cut = elementary(r.spans().drop("part"), width)
-    of = cut.groupBy("row", "block", "col_start", "col_end", "id").agg(F.sum("share").alias("share"))
+    of = cut.groupBy("row", "block", "col_start", "col_end", "id").agg(F.round(F.sum("share"), 9).alias("share"))
     best = of.groupBy("row", "block", "col_start", "col_end").agg(F.max("share").alias("share"), F.min_by("id", F.struct(-F.col("share"), F.col("id"))).alias("id"))
     return value_runs(best, ["id", "share"])
 

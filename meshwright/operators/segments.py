@@ -24,7 +24,7 @@ def segments(geometries: DataFrame) -> DataFrame:
     weight is +1 for a counter-clockwise exterior, and changes sign for clockwise rings and for holes.
     """
     parts = geometries.where(F.col("kind").isin("polygon", "line")).select("id", "kind", F.posexplode("parts").alias("part", "rings"))
-    parts = parts.where((F.col("kind") == "line") | (F.size(F.element_at("rings", 1)) >= 4))
+    parts = parts.where((F.col("kind") == "line") | (F.size(F.get("rings", F.lit(0))) >= 4))
     rings = parts.select("id", "kind", "part", F.posexplode("rings").alias("ring", "c")).where(F.size("c") >= F.when(F.col("kind") == "line", 2).otherwise(4))
     return ring_segments(rings)
 

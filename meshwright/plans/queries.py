@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshwright.functions.cells import box
-from meshwright.operators import dense, results
+from meshwright.operators import dense, results, stored
 from meshwright.operators.burn import BurnResult, burn, burn_segments
 from meshwright.plans import synth
 from meshwright.plans.grid import Grid, extent_of
@@ -362,3 +362,95 @@ def _(spark, d):  # noqa: ANN001, ANN202
         struct.pack(">BIddd", 0, 0x80000001, *xy(4), 7.0), struct.pack("<BIdddd", 1, 3001, *xy(5), 7.0, 8.0), struct.pack(">BIIBIdd", 0, 4, 1, 0, 1, *xy(6)),
     ]
     return burn(spark.createDataFrame(list(enumerate(forms, 1)), "id int, wkb binary"), grid=Grid(0, 0, 10, 10, 10, 10), keep=False).points
+
+
+# ---- results as runs, two polygon tables, largest share, other grids, files, WKB of a table, slanted cells -------------------
+@query("materialize_runs", f"""{_WRITE}, cell AS (SELECT row, col, arg_max(v, rank * 1000000000 + id) AS value FROM wr GROUP BY row, col),
+brk AS (SELECT row, col, value, CASE WHEN lag(col) OVER w = col - 1 AND lag(value) OVER w = value THEN 0 ELSE 1 END AS b FROM cell WINDOW w AS (PARTITION BY row ORDER BY col)),
+grp AS (SELECT row, col, value, sum(b) OVER (PARTITION BY row ORDER BY col) AS k FROM brk) SELECT row, CAST(min(col) AS INT) AS col_start, CAST(max(col) AS INT) AS col_end, any_value(value) AS value FROM grp GROUP BY row, k""")
+def _(spark, d):  # noqa: ANN001, ANN202
+    return dense.materialize_runs(rect_burn(spark, d), _values(spark, d), "last", threshold=0.503, check=False)
+
+
+#: Cells of triangles whose centre is inside, beside the shares of rectangles.
+_BOTH = f"{_COVER}, tri AS ({synth.TRIANGLES}), seg AS (SELECT id, ax AS x0, ay AS y0, bx AS x1, bz AS y1 FROM tri UNION ALL SELECT id, bx, bz, cx, cy FROM tri UNION ALL SELECT id, cx, cy, ax, ay FROM tri), tc AS (SELECT id, row, col FROM seg JOIN rr ON least(y0, y1) < ym AND ym <= greatest(y0, y1) JOIN cc ON x0 + (ym - y0) / (y1 - y0) * (x1 - x0) <= xm WHERE y0 <> y1 GROUP BY id, row, col HAVING sum(CASE WHEN y0 >= ym THEN -1 ELSE 1 END) <> 0)"
+
+
+@query("overlay_areas", f"{_BOTH} SELECT meas.id AS id_1, tc.id AS id_2, count(*) AS cells, floor(sum(m) * 1e6 + 0.26) / 1e6 AS weight FROM meas JOIN tc ON meas.row = tc.row AND meas.col = tc.col GROUP BY 1, 2")
+def _(spark, d):  # noqa: ANN001, ANN202
+    triangles = burn_segments(synth.triangles(spark, d), None, G, "approx")
+    return results.overlay_areas(rect_burn(spark, d), triangles).withColumn("weight", settled("weight", 6))
+
+
+@query("overlay_polygons", f"{_BOTH} SELECT meas.row, meas.col, meas.id AS id_1, tc.id AS id_2, floor(m * 1e6 + 0.26) / 1e6 AS measure_1, 1e0 AS measure_2 FROM meas JOIN tc ON meas.row = tc.row AND meas.col = tc.col")
+def _(spark, d):  # noqa: ANN001, ANN202
+    triangles = burn_segments(synth.triangles(spark, d), None, G, "approx")
+    return results.overlay(rect_burn(spark, d), triangles).withColumn("measure_1", settled("measure_1", 6))
+
+
+@query("largest_share", f"""{_COVER}, own AS (SELECT row, col, id, round(sum(m), 9) AS share FROM meas GROUP BY row, col, id)
+SELECT row, col, id, floor(share * 1e6 + 0.26) / 1e6 AS share FROM own QUALIFY row_number() OVER (PARTITION BY row, col ORDER BY share DESC, id) = 1""")
+def _(spark, d):  # noqa: ANN001, ANN202
+    return results.by_cell(results.largest_share(rect_burn(spark, d)), "id", "share").withColumn("share", settled("share", 6))
+
+
+_COARSE = "rr AS (SELECT CAST(i AS INT) AS row, 60 - i * 4e0 AS yl, 60 - (i - 1) * 4e0 AS yh FROM range(1, 16) AS t(i)), cc AS (SELECT CAST(i AS INT) AS col, (i - 1) * 3e0 AS xl, i * 3e0 AS xh FROM range(1, 21) AS t(i))"
+
+
+@query("coarsened_cells", f"{_COVER.replace(_LINES, _COARSE).replace('/ 3e0 AS f', '/ 12e0 AS f')} SELECT rank, row, col, id, floor(m * 1e6 + 0.26) / 1e6 AS measure FROM meas")
+def _(spark, d):  # noqa: ANN001, ANN202
+    return results.measures(results.coarsened(rect_burn(spark, d), 2)).withColumn("measure", settled("measure", 6))
+
+
+@query("moved_cells", ORACLE_SQL["beyond_coverage"])
+def _(spark, d):  # noqa: ANN001, ANN202
+    return results.measures(results.moved(rect_burn(spark, d), SMALL)).withColumn("measure", settled("measure", 6))
+
+
+@query("stored_crop", f"{_COVER} SELECT rank, row - 9 AS row, col - 6 AS col, id, floor(m * 1e6 + 0.26) / 1e6 AS measure FROM meas WHERE row BETWEEN 10 AND 25 AND col BETWEEN 7 AND 21")
+def _(spark, d):  # noqa: ANN001, ANN202
+    path = stored.scratch(spark)
+    stored.write_burn(rect_burn(spark, d), path, 8, 16)
+    return results.measures(stored.read_burn(spark, path, G, CROP)).withColumn("measure", settled("measure", 6))
+
+
+@query("stored_tiles", f"{_COVER} SELECT row, col, CAST(arg_max(id, rank * 1000000000 + id) AS DOUBLE) AS value FROM meas WHERE row BETWEEN 5 AND 20 AND col BETWEEN 3 AND 33 GROUP BY row, col")
+def _(spark, d):  # noqa: ANN001, ANN202
+    path = stored.scratch(spark)
+    stored.write_tiles(rect_burn(spark, d), path, 8, 16)
+    return results.by_cell(stored.read_tiles(spark, path, (5, 20, 3, 33)), "value")
+
+
+@query("wkb_coverage", f"{_COVER} SELECT rank, row, col, id, floor(m * 1e6 + 0.26) / 1e6 AS measure FROM meas WHERE id % 10 < 8")
+def _(spark, d):  # noqa: ANN001, ANN202
+    return results.measures(burn(synth.rectangle_wkb(spark, d), grid=G, keep=False)).withColumn("measure", settled("measure", 6))
+
+
+@query("wkb_notes", """SELECT p_partkey AS id, CASE WHEN p_partkey % 10 = 8 THEN 'WKB too short' ELSE 'GeometryCollection is not supported: its members measure different things; split it by kind' END AS message FROM part WHERE p_partkey % 10 >= 8""")
+def _(spark, d):  # noqa: ANN001, ANN202
+    return burn(synth.rectangle_wkb(spark, d), grid=G, keep=False).notes
+
+
+_HIT = f"hit AS (SELECT DISTINCT {_CELL} FROM ({synth.POINTS}) AS p WHERE x BETWEEN 0 AND 60 AND y BETWEEN 0 AND 60)"
+
+
+@query("hit_cell_places", f"WITH {_LINES}, {_HIT} SELECT hit.row, hit.col, xm AS x, ym AS y, xl AS xmin, yl AS ymin, xh AS xmax, yh AS ymax FROM hit JOIN rr ON hit.row = rr.row JOIN cc ON hit.col = cc.col")
+def _(spark, d):  # noqa: ANN001, ANN202
+    cells = results.cell_centers(point_burn(spark, d).points.select("row", "col").distinct(), G)
+    return cells.withColumn("b", box(G, F.col("row"), F.col("col"))).select("row", "col", "x", "y", "b.xmin", "b.ymin", "b.xmax", "b.ymax")
+
+
+# the width of a triangle inside a cell's columns is linear between the heights of its corners, of the cell's sides and of where its edges meet them
+@query("tri_coverage_cells", f"""{_SIDES}, tb AS (SELECT id, least(ax, bx, cx) AS x0, greatest(ax, bx, cx) AS x1, least(ay, bz, cy) AS y0, greatest(ay, bz, cy) AS y1 FROM tri),
+cell AS (SELECT id, row, col, xl, xh, yl, yh, greatest(y0, yl) AS lo, least(y1, yh) AS hi FROM tb JOIN cc ON xl < x1 AND xh > x0 JOIN rr ON yl < y1 AND yh > y0),
+knot AS (SELECT id, row, col, lo AS y FROM cell UNION SELECT id, row, col, hi FROM cell
+UNION SELECT cell.id, row, col, t.y FROM cell JOIN (SELECT id, y0 AS y FROM seg) AS t ON t.id = cell.id AND t.y > lo AND t.y < hi
+UNION SELECT cell.id, row, col, y0 + (xl - x0) / (x1 - x0) * (y1 - y0) FROM cell JOIN seg ON seg.id = cell.id AND x0 <> x1 AND xl BETWEEN least(x0, x1) AND greatest(x0, x1) AND y0 + (xl - x0) / (x1 - x0) * (y1 - y0) > lo AND y0 + (xl - x0) / (x1 - x0) * (y1 - y0) < hi
+UNION SELECT cell.id, row, col, y0 + (xh - x0) / (x1 - x0) * (y1 - y0) FROM cell JOIN seg ON seg.id = cell.id AND x0 <> x1 AND xh BETWEEN least(x0, x1) AND greatest(x0, x1) AND y0 + (xh - x0) / (x1 - x0) * (y1 - y0) > lo AND y0 + (xh - x0) / (x1 - x0) * (y1 - y0) < hi),
+slab AS (SELECT id, row, col, y, lead(y) OVER (PARTITION BY id, row, col ORDER BY y) AS z FROM knot),
+mid AS (SELECT slab.id, row, col, y, z, min(x0 + ((y + z) / 2 - y0) / (y1 - y0) * (x1 - x0)) AS l, max(x0 + ((y + z) / 2 - y0) / (y1 - y0) * (x1 - x0)) AS r FROM slab JOIN seg ON seg.id = slab.id AND y0 <> y1 AND (y + z) / 2 BETWEEN least(y0, y1) AND greatest(y0, y1) WHERE z > y GROUP BY slab.id, row, col, y, z),
+f AS (SELECT mid.id, mid.row, mid.col, sum((z - y) * greatest(least(r, xh) - greatest(l, xl), 0e0)) / 3e0 AS f FROM mid JOIN cc ON cc.col = mid.col GROUP BY 1, 2, 3)
+SELECT row, col, id, CAST(floor(f * 1e4 + 0.26) AS BIGINT) AS parts FROM f WHERE f > 0.00005""")
+def _(spark, d):  # noqa: ANN001, ANN202
+    shares = results.measures(burn_segments(synth.triangles(spark, d), None, G)).where("measure > 0.00005")
+    return shares.select("row", "col", "id", F.floor(F.col("measure") * 1e4 + 0.26).alias("parts"))
