@@ -165,7 +165,7 @@ def packed(numbers: np.ndarray) -> bytes:
     import zstandard
 
     kind = np.int32 if len(numbers) == 0 or (abs(numbers) < 1 << 31).all() else np.int64
-    planes = numbers.astype(kind).view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+    planes = numbers.astype(kind).view(np.uint8).reshape(len(numbers), np.dtype(kind).itemsize).T.tobytes()
     return bytes([np.dtype(kind).itemsize]) + zstandard.ZstdCompressor(level=1).compress(planes)
 
 
@@ -173,7 +173,8 @@ def unpacked(data: bytes) -> np.ndarray:
     """The numbers of :func:`packed`, as 64-bit ones."""
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8)
+    planes = planes.reshape(data[0], len(planes) // data[0])
     return np.ascontiguousarray(planes.T).view(f"i{data[0]}").ravel().astype(np.int64)
 
 
