@@ -8,7 +8,8 @@ import time
 
 from pyspark.sql import SparkSession
 
-from meshwright.operators.burn import burn_segments
+from meshwright.operators.burn import burn_chunks, burn_segments
+from meshwright.operators.dense import materialize_runs
 from meshwright.operators.results import covered_area
 from meshwright.plans import queries, synth
 from meshwright.plans.grid import Grid
@@ -30,8 +31,14 @@ def main() -> None:
     for n in (1_000, 10_000, 100_000):  # the same triangles on ever finer grids: time follows perimeter and rows, not cells
         grid = Grid(0.0, 0.0, 60.0, 60.0, n, n)
         runs[f"approx_{n}"] = lambda g=grid: burn_segments(synth.triangles(spark, sf_dir), None, g, "approx").runs
-        if n <= 100_000:
-            runs[f"coverage_{n}"] = lambda g=grid: covered_area(burn_segments(synth.triangles(spark, sf_dir), None, g))
+        runs[f"coverage_{n}"] = lambda g=grid: covered_area(burn_segments(synth.triangles(spark, sf_dir), None, g, combine=False))
+    fine = Grid(0.0, 0.0, 60.0, 60.0, 100_000, 100_000)
+    few = lambda: burn_segments(synth.triangles(spark, sf_dir).where("id <= 100"), None, fine, combine=False)
+    runs["materialize_runs_100000"] = lambda: materialize_runs(few(), fn="last", check=False, width=1 << 20)
+    for n, (ncol, nrow) in {"256": (256, 128), "4096": (4096, 2048)}.items():  # four rings of a million vertices each
+        world = Grid(0.0, 0.0, 60.0, 15.0, ncol, nrow)
+        runs[f"coast_approx_{n}"] = lambda g=world: burn_chunks(synth.coasts(spark), grid=g, mode="approx", spread=False).runs
+        runs[f"coast_coverage_{n}"] = lambda g=world: covered_area(burn_chunks(synth.coasts(spark), grid=g, spread=False))
     for name, make in runs.items():
         began = time.time()
         noop(make())

@@ -91,13 +91,13 @@ def _checked(mode: str) -> str:
     return mode
 
 
-def burn_segments(rows: DataFrame, points: DataFrame | None, grid: Grid, mode: str = "coverage", notes: DataFrame | None = None, source: DataFrame | None = None) -> BurnResult:
-    """A burn of weighted segments (see :func:`segments.segments`) and points (id, x, y)."""
+def burn_segments(rows: DataFrame, points: DataFrame | None, grid: Grid, mode: str = "coverage", notes: DataFrame | None = None, source: DataFrame | None = None, combine: bool = True) -> BurnResult:
+    """A burn of weighted segments (see :func:`segments.segments`) and points (id, x, y). combine: see :func:`polygons.coverage`; False for rings of few vertices a cell."""
     _checked(mode)
     spark, kind = rows.sparkSession, dict(rows.dtypes)["id"]
     empty = lambda schema: spark.createDataFrame([], schema)
     if mode == "coverage":
-        runs, edges, both = coverage(rows, grid)
+        runs, edges, both = coverage(rows, grid, combine=combine)
     else:
         (runs, both), edges = centres(rows, grid), empty(f"row int, col int, fraction double, id {kind}")
     kinds = source.where("error IS NULL").select("kind") if source is not None else rows.select("kind") if points is None else None

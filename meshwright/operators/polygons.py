@@ -3,7 +3,8 @@
 Coverage sums two numbers a cell over the pieces of a ring's boundary: how far the piece runs down (cover) and the area
 right of it inside the cell (area). By Green's theorem the running sum of covers left of a cell plus its area is the share
 of the cell inside the polygon. Each task adds up its pieces by cell before they are exchanged, so no more than the
-boundary cells travel. Running sums go by (id, part, row); on grids wider than ``BLOCK`` columns they go by blocks of
+boundary cells travel, unless rings are known to have few vertices a cell: then adding up before spares nothing, and pieces
+are dealt out once. Running sums go by (id, part, row); on grids wider than ``BLOCK`` columns they go by blocks of
 columns first, and the blocks' totals are added, so no row of a grid has to fit in one task.
 """
 
@@ -53,7 +54,7 @@ def merged_runs(spans: DataFrame, ncol: int, block: int = BLOCK) -> DataFrame:
     return _from_one(starts.withColumn("col_end", F.coalesce(F.lead("left").over(order), F.col("end"))))
 
 
-def coverage_cells(segments: DataFrame, grid: Grid, block: int = BLOCK) -> DataFrame:
+def coverage_cells(segments: DataFrame, grid: Grid, block: int = BLOCK, combine: bool = True) -> DataFrame:
     """id, part, row, col_start, col_end, share (0-based): boundary cells, and the gaps between them, with the share that is inside."""
     pieces = cut(on_grid(segments.where("kind = 'polygon' AND y0 <> y1"), grid), grid, beside=True)
     du, dv = F.col("u1") - F.col("u0"), F.col("v1") - F.col("v0")
@@ -61,6 +62,7 @@ def coverage_cells(segments: DataFrame, grid: Grid, block: int = BLOCK) -> DataF
     middle = F.col("u0") + du * (F.col("t0") + F.col("t1")) / 2
     share = F.when(F.col("col") < 0, F.lit(1.0)).when(F.col("col") >= grid.ncol, F.lit(0.0)).otherwise(1 - (middle - F.col("col")))
     cells = pieces.select("id", "part", "row", "col", cover.alias("cover"), (cover * share).alias("area"))
+    cells = cells if combine or grid.ncol > block else cells.repartition(*KEYS)
     cells = cells.groupBy(*KEYS, "col").agg(F.sum("cover").alias("cover"), F.sum("area").alias("area"))
     cells = scanned(cells, "cover", "col", grid.ncol, block)
     boundary = F.struct(F.col("col").alias("a"), F.col("col").alias("b"), (F.col("after") - F.col("cover") + F.col("area")).alias("share"))
@@ -69,9 +71,9 @@ def coverage_cells(segments: DataFrame, grid: Grid, block: int = BLOCK) -> DataF
     return both.where(f"col_start <= col_end AND col_start >= 0 AND col_end < {grid.ncol} AND share > {TOLERANCE}")
 
 
-def coverage(segments: DataFrame, grid: Grid, block: int = BLOCK) -> tuple[DataFrame, DataFrame, DataFrame]:
+def coverage(segments: DataFrame, grid: Grid, block: int = BLOCK, combine: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(runs, edges, cells) of polygon segments: cells wholly inside as maximal runs, others with the share of their area, and both in one table (:func:`spans`)."""
-    cells = coverage_cells(segments, grid, block)
+    cells = coverage_cells(segments, grid, block, combine)
     runs = merged_runs(cells.where(f"share >= {1 - TOLERANCE}"), grid.ncol, block)
     part = explode_range(cells.where(f"share < {1 - TOLERANCE}"), "col", F.col("col_start"), F.col("col_end"))
     edges = part.select((F.col("row") + 1).alias("row"), (F.col("col") + 1).cast("int").alias("col"), F.col("share").alias("fraction"), "id")

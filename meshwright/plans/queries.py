@@ -46,7 +46,7 @@ def settled(column: str, places: int) -> Column:
 
 
 def rect_burn(spark: SparkSession, sf_dir: str, mode: str = "coverage") -> BurnResult:
-    return burn_segments(synth.rectangles(spark, sf_dir), None, G, mode)
+    return burn_segments(synth.rectangles(spark, sf_dir), None, G, mode, combine=False)  # four vertices a ring
 
 
 def line_burn(spark: SparkSession, sf_dir: str) -> BurnResult:
@@ -131,7 +131,7 @@ def _below(t: str) -> str:
 @query("tri_covered_area", f"""WITH t AS (SELECT id, abs((bx - ax) * (cy - ay) - (cx - ax) * (bz - ay)) / 2 AS a, least(ay, bz, cy) AS p, ay + bz + cy - least(ay, bz, cy) - greatest(ay, bz, cy) AS q, greatest(ay, bz, cy) AS r FROM ({synth.TRIANGLES}) AS s)
 SELECT id, CAST(floor((({_below('60e0')}) - ({_below('0e0')})) * 100 + 0.26) AS BIGINT) AS hundredths FROM t WHERE a > 0""")
 def _(spark, d):  # noqa: ANN001, ANN202
-    area = results.covered_area(burn_segments(synth.triangles(spark, d), None, G), by_id=True)
+    area = results.covered_area(burn_segments(synth.triangles(spark, d), None, G, combine=False), by_id=True)
     return area.select("id", F.floor(F.col("covered_area") * 100 + 0.26).alias("hundredths"))
 
 
