@@ -49,6 +49,14 @@ def crop(r: BurnResult, bounds: tuple[float, float, float, float]) -> BurnResult
     return r.with_tables(r.grid.sub(*window), runs=clipped(r.runs), edges=cells(r.edges), lines=cells(r.lines), points=cells(r.points), cells=clipped(r.spans()))
 
 
+def table(r: BurnResult, name: str, expand: bool = False) -> DataFrame:
+    """One table of a burn by its name, in the order of id, row and column; expand: runs as cells."""
+    if name not in ("runs", "edges", "lines", "points", "notes"):
+        raise ValueError("name must be runs, edges, lines, points or notes")
+    found = expand_runs(r.runs) if name == "runs" and expand else getattr(r, name)
+    return found.orderBy(*(c for c in ("id", "row", "col_start", "col") if c in found.columns))
+
+
 def expand_runs(runs: DataFrame) -> DataFrame:
     """One row (row, col, id) for each cell of each run."""
     return runs.select("row", F.explode(F.sequence("col_start", "col_end")).alias("col"), "id")
@@ -136,16 +144,16 @@ def elementary(spans: DataFrame, width: int = 4096) -> DataFrame:
     """Spans (row, col_start, col_end, further columns) cut at every end of any span of their row, so that two of the results are equal in place or apart.
 
     A row's ends are gathered by block of ``width`` columns, so no more than width + 1 of them are held together. How many
-    rows come out depends on how many spans overlap, not on how long they are. Adds block; a span is also cut where a block ends.
+    rows come out depends on how many spans overlap, not on how long they are. Adds block; a span is also cut where a block
+    ends. Spans are exchanged by (row, block) once, and what groups or orders the result by these needs no other exchange.
     """
     cut = in_blocks(spans, width).withColumn("past", F.col("col_end") + 1).drop("col_end")
-    ends = cut.select("row", "block", F.explode(F.array("col_start", "past")).alias("end")).groupBy("row", "block").agg(F.sort_array(F.collect_set("end")).alias("ends"))
-    both = cut.join(ends, ["row", "block"])
-    first, last = F.array_position("ends", F.col("col_start")), F.array_position("ends", F.col("past"))
-    many = (last - first).cast("int")
-    between = F.arrays_zip(F.slice("ends", first.cast("int"), many).alias("a"), F.slice("ends", first.cast("int") + 1, many).alias("b"))
-    rest = [c for c in both.columns if c not in ("col_start", "past", "ends")]
-    out = both.select(*rest, F.explode(between).alias("s"))
+    place = Window.partitionBy("row", "block")
+    both = cut.withColumns({"starts": F.collect_set("col_start").over(place), "pasts": F.collect_set("past").over(place)})
+    rest = [c for c in cut.columns if c not in ("col_start", "past")]
+    ends = F.filter(F.array_union("starts", "pasts"), lambda e: (e >= F.col("col_start")) & (e <= F.col("past")))
+    own = both.select(*rest, F.explode(F.array(F.sort_array(ends))).alias("ends"))  # sorted once a span
+    out = own.select(*rest, F.explode(F.arrays_zip(F.slice("ends", 1, F.size("ends") - 1).alias("a"), F.slice("ends", 2, F.size("ends") - 1).alias("b"))).alias("s"))
     return out.select(*rest, F.col("s.a").alias("col_start"), (F.col("s.b") - 1).alias("col_end"))
 
 
@@ -241,29 +249,29 @@ def cumulative(raster: DataFrame, ncol: int, width: int = 256) -> DataFrame:
     return every.select("row", F.col("b").alias("block"), F.when(own, F.col("left")).otherwise(F.col("upto")).alias("base"), F.when(own, F.col("entries")).otherwise(F.slice("entries", 1, 0)).alias("entries"))
 
 
-def _running(spans: DataFrame, table: DataFrame, col: Column, name: str, width: int) -> DataFrame:
-    """Adds, as a struct, what :func:`cumulative` has up to a column of each span's row."""
-    asked = spans.withColumns({"col__": col, "block": F.floor((col - 1) / width).cast("int")})
-    found = asked.join(table, ["row", "block"], "left")
-    k = F.size(F.filter("entries", lambda e: e["at"] <= F.col("col__") - F.col("block") * width))
-    inside = F.when(k > 0, F.element_at("entries", k))
-    value = F.struct(*(F.coalesce(F.col("base")[c] + F.coalesce(inside[c], F.lit(0)), F.lit(0)).alias(c) for c in ("total", "n", "odd")))
-    return found.withColumn(name, value).select(*spans.columns, name)
-
-
 def zonal(r: BurnResult, raster: DataFrame, weights: bool = True, width: int = 256) -> DataFrame:
     """id, weight, total, mean of a raster (row, col, value) over each polygon, by coverage; weights=False takes boundary cells only.
 
-    Each span of cells takes two running sums of the raster's row, so it costs two rows however long it is. A NaN or infinite
-    value under a polygon makes its total NaN.
+    A span of cells takes the running sum at its end less that before its start: one row if both lie in one block of columns,
+    else two, however long it is. A NaN or infinite value under a polygon makes its total NaN.
     """
-    table = cumulative(raster, r.grid.ncol, width)
-    spans = r.spans().select("row", "col_start", "col_end", "id", "share")
-    spans = spans if weights else spans.where("share < 1")
-    spans = _running(_running(spans, table, F.col("col_end"), "upto", width), table, F.col("col_start") - 1, "left", width)
-    own = {c: F.col("upto")[c] - F.col("left")[c] for c in ("total", "n", "odd")}
+    spans = r.spans() if weights else r.spans().where("share < 1")
+    at = lambda c: F.floor((c - 1) / width).cast("int")
+    hi, lo, none = F.col("col_end"), F.col("col_start") - 1, F.lit(None).cast("int")
+    ask = lambda block, upto, left: F.struct(block.alias("block"), upto.alias("upto"), left.alias("left"))
+    asks = F.when(at(hi) == at(lo), F.array(ask(at(hi), hi, lo))).otherwise(F.array(ask(at(hi), hi, none), ask(at(lo), none, lo)))
+    asked = spans.select("row", "id", "share", F.explode(asks).alias("a")).select("row", "id", "share", "a.*")
+    found = asked.join(cumulative(raster, r.grid.ncol, width), ["row", "block"])
+    one = F.col("upto").isNotNull() & F.col("left").isNotNull()  # what is left of the block stands on both sides
+
+    def running(upto: Column, c: str) -> Column:
+        k = F.size(F.filter("entries", lambda e: e["at"] <= upto - F.col("block") * width))
+        base = F.when(one, F.lit(0)).otherwise(F.col("base")[c])
+        return F.when(upto.isNull(), F.lit(0)).when(k > 0, base + F.element_at("entries", k)[c]).otherwise(base)
+
+    own = {c: running(F.col("upto"), c) - running(F.col("left"), c) for c in ("total", "n", "odd")}
     weight, total = F.sum(F.col("share") * own["n"]), F.when(F.sum(own["odd"]) > 0, F.lit(float("nan"))).otherwise(F.sum(F.col("share") * own["total"]))
-    return spans.groupBy("id").agg(weight.alias("weight"), total.alias("total")).where("weight > 0").withColumn("mean", F.col("total") / F.col("weight"))
+    return found.groupBy("id").agg(weight.alias("weight"), total.alias("total")).where("weight > 1e-9").withColumn("mean", F.col("total") / F.col("weight"))
 
 
 def overlay_runs(one: BurnResult, two: BurnResult, width: int = 256) -> DataFrame:

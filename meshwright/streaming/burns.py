@@ -1,7 +1,8 @@
 """Burns of streams.
 
 A point burn is a filter and a projection, so it is applied to a streaming DataFrame as it is. Polygon and line burns sum
-over the pieces of each geometry: on a stream they run on each micro-batch, whose geometries are whole rows.
+over the pieces of each geometry: on a stream they run on each micro-batch, whose geometries are whole rows, or inside each
+row (:mod:`meshwright.streaming.sweep`), which needs no micro-batch function.
 """
 
 from __future__ import annotations

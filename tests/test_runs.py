@@ -163,6 +163,19 @@ def test_runs_of_values_cost_the_boundary(spark):
     assert n[1000] < 2.2 * n[500]
 
 
+def test_reducers_exchange_spans_once(spark, crowd):
+    """Behind the burn there is one exchange, by row and block; grouping and merging use it."""
+    plan = dense.materialize_runs(crowd, fn="last", check=False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(row") == 1
+
+
+def test_tables_in_order(spark, crowd):
+    runs = results.table(crowd, "runs", expand=True).collect()
+    assert [(r["id"], r["row"], r["col"]) for r in runs] == sorted((r["id"], r["row"], r["col"]) for r in runs) and results.table(crowd, "notes").isEmpty()
+    with pytest.raises(ValueError, match="name"):
+        results.table(crowd, "cells")
+
+
 def test_largest_share_and_ties(spark, crowd):
     got = cells_of(results.largest_share(crowd), "id", "share")
     best = {}
@@ -287,6 +300,7 @@ def test_streams_burn_in_place_like_batches(spark, tmp_path):
         assert plain(spark.table(f"swept_{mode}")) == plain(results.pieces(batch))
 
 
+@pytest.mark.filterwarnings("ignore:geometry")
 def test_chunks_of_text_and_notes(spark):
     df = spark.createDataFrame([(1, "POLYGON ((2 4, 6 4, 6 8, 2 8, 2 4))"), (2, "nonsense"), (3, None)], "id int, wkt string")
     r = burn_chunks(chunks_from_wkt(df), bounds=(0, 0, 10, 10), shape=(10, 10), spread=False)
