@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,7 +79,7 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 def per_text(
     df: DataFrame, key: str, text: str, schema: str, step: Callable[[list, list[bytes]], dict[str, Iterable]], step_bytes: int = STEP_BYTES
 ) -> DataFrame:
-    """Apply ``step`` to (keys, texts) of bounded size and return its columns; memory is bounded by one step."""
+    """Apply ``step`` to (keys, texts) of bounded size and return its columns; only one step's texts become Python objects at a time."""
     names, arrow = None, None
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType, _parse_datatype_string
@@ -89,14 +90,25 @@ def per_text(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
-            for lo, hi in spans(texts, step_bytes):
-                out = step(keys[lo:hi], texts[lo:hi])
+            for part in parts(batch, step_bytes, 1):
+                out = step(part.column(0).to_pylist(), as_bytes(part.column(1)))
                 yield pa.RecordBatch.from_arrays([pa.array(out[n], arrow.field(n).type) for n in names], schema=arrow)
 
     return df.select(F.col(key), F.col(text)).mapInArrow(run, kind)
 
 
+def parts(batch: pa.RecordBatch, step_bytes: int, *columns: int | pa.Array) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts, in the given columns, have at most ``step_bytes`` bytes together, or of one row; nothing is copied."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for c in columns:
+        sizes += pc.fill_null(pc.binary_length(batch.column(c) if isinstance(c, int) else c), 0).to_numpy(zero_copy_only=False)
+    ends, lo = np.cumsum(sizes), 0
+    while lo < batch.num_rows:
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + step_bytes, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def spans(texts: list[bytes], step_bytes: int) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges of at most ``step_bytes`` bytes, or of one text."""
     lo = total = 0

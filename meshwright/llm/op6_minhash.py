@@ -32,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import Words, as_bytes, mix, per_text, released, spans, stored, table
+from meshwright.llm.common import Words, as_bytes, mix, parts, per_text, released, stored, table
 from meshwright.llm.groups import near_groups
 
-SHINGLE, BANDS, ROWS, SIMILARITY, STEP = 5, 21, 6, 0.8, 3 << 20
+SHINGLE, BANDS, ROWS, SIMILARITY, STEP = 5, 21, 6, 0.8, 1 << 20
 REGISTERS = BANDS * ROWS
 _A, _B = np.uint64(0xD1342543DE82EF95), np.uint64(0x2545F4914F6CDD1D)
 
@@ -128,11 +128,10 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pair, both = batch.column(0), batch.column(1)
-            a, b = as_bytes(both.field(0)), as_bytes(both.field(1))
-            found = [overlap(a[lo:hi], b[lo:hi]) for lo, hi in spans([x + y for x, y in zip(a, b, strict=True)], STEP)]
-            value = np.concatenate(found) if found else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([pair.field(0), pair.field(1), pa.array(1 - value), pa.array(value >= similarity)], names=["a", "b", "distance", "near"])
+            for part in parts(batch, STEP, batch.column(1).field(0), batch.column(1).field(1)):
+                pair, both = part.column(0), part.column(1).flatten()
+                value = overlap(*map(as_bytes, both))
+                yield pa.RecordBatch.from_arrays([*pair.flatten(), pa.array(1 - value), pa.array(value >= similarity)], names=["a", "b", "distance", "near"])
 
     return packed.mapInArrow(run, "a long, b long, distance double, near boolean")
 
@@ -150,10 +149,10 @@ def common_mass(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, roots, bodies = batch.column(0).to_numpy(), batch.column(1).to_numpy(), as_bytes(batch.column(2))
-            for lo, hi in spans(bodies, STEP):
-                text, shingle, count = shingle_counts(Words([t.lower() for t in bodies[lo:hi]]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi][text]), pa.array(roots[lo:hi][text]), pa.array(shingle.view(np.int64)), pa.array(count)], names=["id", "root", "shingle", "n"])
+            for part in parts(batch, STEP, 2):
+                ids, roots = part.column(0).to_numpy(), part.column(1).to_numpy()
+                text, shingle, count = shingle_counts(Words([t.lower() for t in as_bytes(part.column(2))]))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[text]), pa.array(roots[text]), pa.array(shingle.view(np.int64)), pa.array(count)], names=["id", "root", "shingle", "n"])
 
     held = rows.join(texts.select(F.col("doc_id").alias("id"), "text").hint("merge"), "id").select("id", "root", "text")
     counts = stored(held.mapInArrow(run, "id long, root long, shingle long, n long"))
