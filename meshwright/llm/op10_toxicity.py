@@ -12,8 +12,8 @@ logistic model calibrates these into a probability. Everything is learnt from a
 (``SAMPLE`` of each class, by hash of the id); scores use whole texts.
 
 Defined results: a null, empty or blank text has no windows and gets the score of no evidence; equal texts get equal
-scores; without training rows of both classes every score is the share of toxic ones (0.5 when there are none); an
-empty table gives an empty table; further columns are ignored, and labels, lang, source and doc_id are no inputs.
+scores; without training rows of both classes every score is the share of toxic ones (0.5 when there are none); a
+document labelled more than once is learnt from once for each label row, conflicting ones included; an empty table gives an empty table; further columns are ignored, and labels, lang, source and doc_id are no inputs.
 """
 
 from __future__ import annotations

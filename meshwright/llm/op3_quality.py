@@ -8,7 +8,8 @@ document gives at most ``BAG`` passages, evenly spaced). Scores use all passages
 
 Defined results: a null, empty or blank text has one passage whose features are all zero; equal texts get equal scores,
 rounded to six places; without training rows of both classes every score is the share of good ones (0.5 when
-there are none); an empty table gives an empty table; further columns are ignored, and labels, lang, source and doc_id
+there are none); a document labelled more than once is learnt from once for each label row, conflicting ones included; an
+empty table gives an empty table; further columns are ignored, and labels, lang, source and doc_id
 are no inputs.
 """
 
