@@ -22,21 +22,28 @@ TOLERANCE = 1e-6
 BLOCK = 1 << 20
 
 
-def scanned(rows: DataFrame, value: str, col: str, ncol: int, block: int = BLOCK) -> DataFrame:
-    """Adds before (the sum left of the row's block of columns), after (the running sum of ``value`` up to and with ``col``) and next (the col of the next row, or ncol)."""
+def scanned(rows: DataFrame, value: str | None, col: str, ncol: int, block: int = BLOCK) -> DataFrame:
+    """Adds next (the col of the next row, or ncol) and, of a ``value``, before (the sum left of the row's block of columns) and after (the running sum up to and with the row).
+
+    Of rows of one col, the last one's running sum is that of all; the others are followed by their own col.
+    """
     last = F.lit(ncol)
+    along = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     if ncol <= block:
         order = Window.partitionBy(*KEYS).orderBy(col)
-        nil = F.lit(0).cast(dict(rows.dtypes)[value])
-        return rows.withColumns({"before": nil, "after": F.sum(value).over(order), "next": F.coalesce(F.lead(col).over(order), last)})
+        sums = {} if value is None else {"before": F.lit(0).cast(dict(rows.dtypes)[value]), "after": F.sum(value).over(along(order))}
+        return rows.withColumns(sums | {"next": F.coalesce(F.lead(col).over(order), last)})
     rows = rows.withColumn("block", F.floor(F.col(col) / block))
-    order = Window.partitionBy(*KEYS, "block").orderBy(col)
-    inside = rows.withColumns({"after": F.sum(value).over(order), "next": F.lead(col).over(order)})
-    blocks, along = rows.groupBy(*KEYS, "block").agg(F.sum(value).alias("total"), F.min(col).alias("first")), Window.partitionBy(*KEYS).orderBy("block")
-    left = F.coalesce(F.sum("total").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.select(*KEYS, "block", left.alias("before"), F.lead("first").over(along).alias("follows"))
-    both = inside.join(blocks, [*KEYS, "block"])
-    return both.withColumns({"after": F.col("before") + F.col("after"), "next": F.coalesce("next", "follows", last)}).drop("block", "follows")
+    order, blocks = Window.partitionBy(*KEYS, "block").orderBy(col), Window.partitionBy(*KEYS).orderBy("block")
+    sums = {} if value is None else {"after": F.sum(value).over(along(order))}
+    inside = rows.withColumns(sums | {"next": F.lead(col).over(order)})
+    total = F.lit(0) if value is None else F.col(value)
+    of_blocks = rows.groupBy(*KEYS, "block").agg(F.sum(total).alias("total"), F.min(col).alias("first"))
+    left = F.coalesce(F.sum("total").over(blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    of_blocks = of_blocks.select(*KEYS, "block", left.alias("before"), F.lead("first").over(blocks).alias("follows"))
+    both = inside.join(of_blocks, [*KEYS, "block"])
+    sums = {} if value is None else {"after": F.col("before") + F.col("after")}
+    return both.withColumns(sums | {"next": F.coalesce("next", "follows", last)}).drop("block", "follows")
 
 
 def _from_one(rows: DataFrame, *more: str) -> DataFrame:
@@ -108,7 +115,7 @@ def centres(segments: DataFrame, grid: Grid, block: int = BLOCK) -> tuple[DataFr
     levels = scanned(starts, "down", "col_start", grid.ncol, block).where("col_start < next")
     levels = levels.select(*KEYS, "col_start", (F.col("after") != 0).alias("in"), (F.col("before") != 0).alias("entered"))
     order = Window.partitionBy(*KEYS, *([] if grid.ncol <= block else [F.floor(F.col("col_start") / block)])).orderBy("col_start")
-    turns = levels.withColumn("was", F.coalesce(F.lag("in").over(order), "entered")).where("in <> was").withColumn("nil", F.lit(0))
-    runs = scanned(turns.drop("entered", "was"), "nil", "col_start", grid.ncol, block).where("in")
+    turns = levels.withColumn("was", F.coalesce(F.lag("in").over(order), "entered")).where("in <> was")
+    runs = scanned(turns.drop("entered", "was"), None, "col_start", grid.ncol, block).where("in")
     runs = runs.select(*KEYS, "col_start", (F.col("next") - 1).alias("col_end"))
     return _from_one(runs), _from_one(runs.withColumn("share", F.lit(1.0)), "share", "part")

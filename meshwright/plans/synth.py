@@ -117,15 +117,15 @@ def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, RASTER, "lineitem")
 
 
-def coasts(spark: SparkSession, rings: int = 4, vertices: int = 1_000_000, chunk: int = 4096) -> DataFrame:
-    """Vertex chunks (see :func:`meshwright.sources.wkb.chunks_from_wkb`) of jagged rings side by side, each 15 wide, computed by Spark."""
+def coasts(spark: SparkSession, rings: int = 4, vertices: int = 1_000_000, across: int = 4, chunk: int = 4096) -> DataFrame:
+    """Vertex chunks (see :func:`meshwright.sources.wkb.chunks_from_wkb`) of jagged rings in squares of 15, so many of them side by side, computed by Spark."""
     last = vertices - 1
     chunks = spark.range(rings).select("id", F.explode(F.sequence(F.lit(0), F.lit(last), F.lit(chunk))).alias("first")).repartition("id", "first")
 
     def vertex(k: Column) -> Column:
         turn = k.cast("double") * (2 * math.pi / vertices)
         far = 7 * (0.8 + 0.12 * F.sin(5 * turn) + 0.05 * F.sin(997 * turn) + 0.02 * F.sin(99_991 * turn))
-        return F.struct((15 * F.col("id") + 7.5 + far * F.cos(turn)).alias("x"), (7.5 + far * F.sin(turn)).alias("y"))
+        return F.struct((15 * (F.col("id") % across) + 7.5 + far * F.cos(turn)).alias("x"), (15 * F.floor(F.col("id") / across) + 7.5 + far * F.sin(turn)).alias("y"))
 
     c = F.transform(F.sequence(F.col("first"), F.least(F.col("first") + chunk, F.lit(vertices))), lambda k: vertex(F.pmod(k, F.lit(vertices))))
     constant = {"kind": F.lit("polygon"), "error": F.lit(None).cast("string"), "part": F.lit(0), "ring": F.lit(0), "n": F.lit(vertices + 1), "w": F.lit(1)}
