@@ -91,18 +91,36 @@ def _checked(mode: str) -> str:
     return mode
 
 
-def burn_segments(rows: DataFrame, points: DataFrame | None, grid: Grid, mode: str = "coverage", notes: DataFrame | None = None, source: DataFrame | None = None, combine: bool = True) -> BurnResult:
-    """A burn of weighted segments (see :func:`segments.segments`) and points (id, x, y). combine: see :func:`polygons.coverage`; False for rings of few vertices a cell."""
+def _empty(spark: SparkSession, **columns: str) -> DataFrame:
+    """No rows of these columns and types, which the optimiser knows to be none."""
+    return spark.range(1).select(*(F.lit(None).cast(t).alias(c) for c, t in columns.items())).limit(0)
+
+
+def burn_segments(
+    rows: DataFrame, points: DataFrame | None, grid: Grid, mode: str = "coverage", notes: DataFrame | None = None, source: DataFrame | None = None, combine: bool = True, kind: str | None = None
+) -> BurnResult:
+    """A burn of weighted segments (see :func:`segments.segments`) and points (id, x, y).
+
+    combine: see :func:`polygons.coverage`; False for rings of few vertices a cell. kind: the only kind of geometry there is,
+    if that is known; the tables of the others are then empty without a look at the input.
+    """
     _checked(mode)
-    spark, kind = rows.sparkSession, dict(rows.dtypes)["id"]
-    empty = lambda schema: spark.createDataFrame([], schema)
-    if mode == "coverage":
-        runs, edges, both = coverage(rows, grid, combine=combine)
-    else:
-        (runs, both), edges = centres(rows, grid), empty(f"row int, col int, fraction double, id {kind}")
+    spark, key = rows.sparkSession, dict(rows.dtypes)["id"]
+    runs, edges = _empty(spark, row="int", col_start="int", col_end="int", id=key), _empty(spark, row="int", col="int", fraction="double", id=key)
+    lines, cells = _empty(spark, row="int", col="int", length="double", id=key), _empty(spark, row="int", col="int", id=key)
+    both = _empty(spark, row="int", col_start="int", col_end="int", share="double", part="int", id=key)
+    if kind in (None, "polygon"):
+        if mode == "coverage":
+            runs, edges, both = coverage(rows, grid, combine=combine)
+        else:
+            runs, both = centres(rows, grid)
+    if kind in (None, "line"):
+        lines = line_cells(rows, grid)
+    if points is not None and kind in (None, "point"):
+        cells = point_cells(points, grid)
     kinds = source.where("error IS NULL").select("kind") if source is not None else rows.select("kind") if points is None else None
-    cells = point_cells(points, grid) if points is not None else empty(f"row int, col int, id {kind}")
-    return BurnResult(grid, runs, edges, line_cells(rows, grid), cells, notes if notes is not None else empty(f"id {kind}, message string"), source, both, kinds)
+    kinds = kinds if kind is None else spark.range(1).select(F.lit(kind).alias("kind"))
+    return BurnResult(grid, runs, edges, lines, cells, notes if notes is not None else _empty(spark, id=key, message="string"), source, both, kinds)
 
 
 def coordinates(geometries: DataFrame) -> DataFrame:

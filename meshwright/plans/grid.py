@@ -76,6 +76,11 @@ class Grid:
             raise ValueError("the box and the grid's extent don't overlap")
         return self.sub(*found)
 
+    def padded(self, cells: int = 1) -> Grid:
+        """This grid with so many more rows and columns on each side, or fewer if ``cells`` is below zero."""
+        x, y = cells * self.dx, cells * self.dy
+        return Grid(self.xmin - x, self.ymin - y, self.xmax + x, self.ymax + y, self.ncol + 2 * cells, self.nrow + 2 * cells)
+
     def subdivide(self, size: int) -> Iterator[tuple[int, int, Grid]]:
         """(tile row, tile column, grid) of blocks of at most ``size`` cells a side."""
         for r in range(0, self.nrow, size):

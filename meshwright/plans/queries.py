@@ -46,15 +46,16 @@ def settled(column: str, places: int) -> Column:
 
 
 def rect_burn(spark: SparkSession, sf_dir: str, mode: str = "coverage") -> BurnResult:
-    return burn_segments(synth.rectangles(spark, sf_dir), None, G, mode, combine=False)  # four vertices a ring
+    return burn_segments(synth.rectangles(spark, sf_dir), None, G, mode, combine=False, kind="polygon")  # four vertices a ring
 
 
 def line_burn(spark: SparkSession, sf_dir: str) -> BurnResult:
-    return burn_segments(synth.tracks(spark, sf_dir), None, G)
+    return burn_segments(synth.tracks(spark, sf_dir), None, G, kind="line")
 
 
 def point_burn(spark: SparkSession, sf_dir: str) -> BurnResult:
-    return burn_segments(synth.tracks(spark, sf_dir).limit(0), synth.event_points(spark, sf_dir), G)
+    points = synth.event_points(spark, sf_dir)
+    return burn_segments(points.select("id"), points, G, kind="point")
 
 
 _CELL = "CAST(least(floor((60 - y) / 2e0), 29) + 1 AS INT) AS row, CAST(least(floor(x / 1.5e0), 39) + 1 AS INT) AS col"

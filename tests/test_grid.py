@@ -29,3 +29,11 @@ def test_windows_and_tiles():
     a, b = Grid(0, 0, 4, 4, 4, 4), Grid(2, 2, 6, 6, 4, 4)
     assert a.common(b).bounds == (0, 0, 6, 6) and a.overlap(b).shape == (2, 2) and a.compatible_with(b)
     assert a.overlap(Grid(10, 10, 12, 12, 2, 2)) is None and g.offsets(g.sub(4, 7, 3, 5)) == (3, 2)
+
+
+def test_padding_comes_and_goes():
+    g = Grid(0, 0, 10, 5, 20, 10)
+    wide = g.padded(2)
+    assert wide == Grid(-1, -1, 11, 6, 24, 14) and wide.padded(-2) == g and wide.offsets(g) == (2, 2) and wide.compatible_with(g)
+    with pytest.raises(ValueError, match="empty"):
+        g.padded(-5)
