@@ -195,19 +195,14 @@ def by_cell(runs: DataFrame, *values: str) -> DataFrame:
 
 def ids(r: BurnResult) -> DataFrame:
     """The distinct ids in any table."""
-    out = r.runs.select("id")
-    for t in (r.edges, r.lines, r.points):
-        out = out.unionByName(t.select("id"))
-    return out.distinct()
+    return pieces(r).select("id").distinct()
 
 
 def summary(r: BurnResult) -> DataFrame:
     """One row: counts of the tables, interior cells, ids, and the share of cells that nothing touches (overlaps count twice)."""
-    runs = r.runs.agg(F.count("*").alias("runs"), F.coalesce(F.sum(F.col("col_end") - F.col("col_start") + 1), F.lit(0)).alias("interior"))
-    out = runs
-    for name in ("edges", "lines", "points"):
-        out = out.crossJoin(getattr(r, name).agg(F.count("*").alias(name)))  # single rows
-    out = out.crossJoin(ids(r).agg(F.count("*").alias("geometries")))
+    p, many = pieces(r), (F.col("col_end") - F.col("col_start") + 1).cast("long")
+    cells = [F.coalesce(F.sum(F.when(F.col("rank") == k, many)), F.lit(0)).alias(n) for k, n in enumerate(("interior", "edges", "lines", "points"))]
+    out = r.runs.agg(F.count("*").alias("runs")).crossJoin(p.agg(*cells, F.countDistinct("id").alias("geometries")))  # single rows
     touched = F.col("interior") + F.col("edges") + F.col("lines") + F.col("points")
     return out.withColumn("sparsity", 1 - touched / F.lit(float(r.grid.nrow) * float(r.grid.ncol)))
 
