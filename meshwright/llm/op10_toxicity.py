@@ -1,8 +1,10 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of toxic and one of ordinary text.
 
-Both dictionaries hold the same ordinary passages around a slot of equal size. The slot of the toxic one holds the
-segments (words and beginnings of words) that toxic training texts have far more often than ordinary ones; the slot of
-the ordinary one holds further ordinary text. A window is one word with the spaces around it between two copies of a
+Both dictionaries hold the same ordinary passages around a slot of equal size. The slot of the toxic one holds every
+segment (word, or beginning of one) that more toxic training texts have than chance allows: at least ``RATIO`` times the
+share of ordinary ones, and a probability, by the Chernoff bound of the binomial tail, of at most ``LEVEL`` over all
+segments together. The slot of the ordinary one holds further ordinary text. Texts are counted, not occurrences, and
+near copies once, since they aren't independent. A window is one word with the spaces around it between two copies of a
 passage that both dictionaries have, since zstandard looks for no match in the last bytes of its input and stores short
 inputs that don't shrink as they are. The difference of a window's two compressed lengths tells how much of it is known
 from toxic text. Equal windows have equal lengths, so each worker keeps those it has seen, up to a bound.
@@ -18,6 +20,7 @@ document labelled more than once is learnt from once for each label row, conflic
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections import Counter
 
@@ -26,24 +29,24 @@ import zstandard as zstd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshwright.llm.common import held_out, per_text, table
+from meshwright.llm.common import Words, held_out, mix, per_text, released, stored, table
 
-SAMPLE, DICTIONARY, SEGMENTS, FILLER, BINS, CUT = 2000, 8192, 48, 48, 7, 0.7
+SAMPLE, DICTIONARY, FILLER, BINS, CUT = 2000, 8192, 48, 7, 0.7
+RATIO, LEVEL, ROUNDS, SHINGLE, PASSAGES, PASSAGE_WORDS = 6.0, 0.05, 4, 5, 400, 8
 CACHED_BYTES, CACHED_WORDS = 64, 400_000
 
 
-def segments(text: bytes) -> Counter:
-    """How often a text has each word and beginning of a word, three times at most."""
-    out: Counter = Counter()
-    for word, n in Counter(text.lower().split()).items():
-        for k in range(4, min(len(word), 10)):
-            out[b" " + word[:k]] += n
-        out[b" " + word[:32] + b" " * (len(word) <= 32)] += n
-    return Counter({s: min(3, n) for s, n in out.items()})
+def segments(text: bytes) -> set[bytes]:
+    """The words of a text and their beginnings of 4 to 9 bytes that end with a character."""
+    out = set()
+    for word in set(text.lower().split()):
+        out.update(b" " + word[:k] for k in range(4, min(len(word), 10)) if word[k] & 0xC0 != 0x80)
+        out.add(b" " + word + b" ")
+    return out
 
 
 def segment_counts(sample: DataFrame) -> DataFrame:
-    """(segment, toxic, ordinary): occurrences in the sample's two classes. sample: toxic, text."""
+    """(segment, toxic, ordinary): in how many of the sample's texts of each class it is. sample: toxic, text."""
 
     def step(keys: list, texts: list[bytes]) -> dict:
         total: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -55,21 +58,37 @@ def segment_counts(sample: DataFrame) -> DataFrame:
     return per_text(sample, "toxic", "text", "segment binary, toxic long, ordinary long", step, 8 << 20).groupBy("segment").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def choose_segments(counts: DataFrame, toxic: int, ordinary: int, ratio: float = 6.0, least: float = 0.05) -> list[bytes]:
-    """The segments that speak most for toxic text, none inside another, each as long as most of its occurrences allow."""
-    odds = ((F.col("toxic") + 0.5) / toxic) / ((F.col("ordinary") + 0.5) / ordinary)
-    rows = (
-        counts.where((F.col("toxic") >= 3) & (odds >= ratio))
-        .select("segment", "toxic", (F.col("toxic") * F.log(odds)).alias("score"))
-        .orderBy(F.desc("score"), F.desc(F.length("segment")), "segment")
-        .limit(3000)
-        .collect()
-    )
-    found = [(bytes(r["segment"]), r["toxic"], r["score"]) for r in rows]
+def apart(sample: DataFrame) -> DataFrame:
+    """toxic and text of the least one of the texts of a class that ``ROUNDS`` MinHashes of runs of ``SHINGLE`` words bring together, one after the other; shorter texts are their own."""
+
+    def step(keys: list, texts: list[bytes]) -> dict:
+        hashes, at = (words := Words(texts)).windows(SHINGLE)
+        own = np.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little") for t in texts], np.uint64)
+        least = np.full((ROUNDS, len(texts)), np.iinfo(np.uint64).max, np.uint64)
+        for k in range(ROUNDS):
+            np.minimum.at(least[k], words.text[at], mix(hashes ^ np.uint64(k)))
+        least[:, words.count < SHINGLE] = own[words.count < SHINGLE]
+        return {"toxic": keys, "text": [t.decode() for t in texts], "least": least.view(np.int64).T.tolist()}
+
+    found = per_text(sample, "toxic", "text", "toxic int, text string, least array<long>", step)
+    for k in range(ROUNDS):
+        found = found.groupBy("toxic", F.col("least")[k]).agg(F.min(F.struct("text", "least")).alias("kept")).select("toxic", "kept.text", "kept.least")
+    return found.select("toxic", "text")
+
+
+def choose_segments(counts: DataFrame, toxic: int, ordinary: int, ratio: float = RATIO, level: float = LEVEL) -> list[bytes]:
+    """The segments that toxic texts have more often than chance allows, none inside another, each as long as most of its texts allow; what speaks most first. counts: stored."""
+    t, o = F.col("toxic"), F.col("ordinary")
+    n, share = t + o, F.lit(toxic / (toxic + ordinary))
+    odds = ((t + 0.5) / toxic) / ((o + 0.5) / ordinary)
+    chance = t * F.log(t / n / share) + F.when(o > 0, o * F.log(o / n / (1 - share))).otherwise(0.0)
+    least = math.log(max(1, counts.count()) / level)
+    rows = counts.where((t > 0) & (odds >= ratio)).where(chance >= least).select("segment", "toxic", chance.alias("score"))
+    found = sorted(((bytes(r["segment"]), r["toxic"], r["score"]) for r in rows.collect()), key=lambda f: (-f[2], -len(f[0]), f[0]))
     out: list[bytes] = []
-    for s, n, score in found:
-        if len(out) < SEGMENTS and score >= least * found[0][2] and not any(o.strip() in s or s.strip() in o for o in out):
-            out.append(max((f for f in found if s in f[0] and f[1] >= 0.6 * n), key=lambda f: (len(f[0]), f[2], f[0]))[0])
+    for s, held, _ in found:
+        if not any(other.strip() in s or s.strip() in other for other in out):
+            out.append(max((f for f in found if s in f[0] and f[1] >= 0.6 * held), key=lambda f: (len(f[0]), f[2], f[0]))[0])
     return out
 
 
@@ -95,8 +114,9 @@ class Distance(dict):
 def dictionaries(passages: list[bytes], chosen: list[bytes]) -> tuple[bytes, bytes, bytes]:
     """The ordinary and the toxic dictionary, and the filler that both end with."""
     slot, text = b"".join(reversed(chosen)), b" ".join(passages)
-    if len(text) < 2 * DICTIONARY:
-        text = (text + b" ") * (2 * DICTIONARY // (len(text) + 1) + 1)
+    least = DICTIONARY + len(slot)
+    if len(text) < least:
+        text = (text + b" ") * (least // (len(text) + 1) + 1)
     shared, rest = text[:DICTIONARY], text[DICTIONARY : DICTIONARY + len(slot)]
     half = DICTIONARY // 2
     return shared[:half] + rest + shared[half:], shared[:half] + slot + shared[half:], shared[-FILLER:]
@@ -158,12 +178,13 @@ def sampled(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").join(F.broadcast(first(0).unionByName(first(1))), "doc_id").select("toxic", "text")
 
 
-def passages(sample: DataFrame, n: int = 400, words: int = 8) -> list[bytes]:
-    """Passages from the middle of at most ``n`` ordinary texts of the sample."""
+def passages(sample: DataFrame, n: int = PASSAGES, words: int = PASSAGE_WORDS) -> list[bytes]:
+    """``n`` passages of the ordinary texts of the sample, drawn by hash from all passages of the whole texts."""
 
     def step(keys: list, texts: list[bytes]) -> dict:
         lists = [t.lower().split() for t in texts]
-        return {"toxic": keys, "passage": [b" ".join(w[len(w) // 2 : len(w) // 2 + words]) for w in lists]}
+        found = [b" ".join(w[k : k + words]) for w in lists for k in range(0, len(w), words)]
+        return {"toxic": [0] * len(found), "passage": found}
 
     found = per_text(sample.where("toxic = 0"), "toxic", "text", "toxic int, passage binary", step)
     return [bytes(r["passage"]) for r in found.orderBy(F.xxhash64("passage"), "passage").limit(n).collect()]
@@ -171,12 +192,17 @@ def passages(sample: DataFrame, n: int = 400, words: int = 8) -> list[bytes]:
 
 def fit(documents: DataFrame, labels: DataFrame) -> tuple[tuple[bytes, bytes, bytes], Calibration] | float:
     """The dictionaries and the calibration, or the constant score where a class has no training row."""
-    sample = sampled(documents, labels)
+    sample = stored(sampled(documents, labels))
     size = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(size) < 2:
+        released(sample)
         return float(next(iter(size), 0.5))
-    model = dictionaries(passages(sample), choose_segments(segment_counts(sample), size[1], size[0]))
+    texts = stored(apart(sample))
+    distinct = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    counts = stored(segment_counts(texts))
+    model = dictionaries(passages(texts), choose_segments(counts, distinct[1], distinct[0]))
     rows = histograms(sample, "toxic", model).collect()  # 2 * SAMPLE rows of BINS numbers at most
+    released(sample, texts, counts)
     return model, Calibration(np.array([r["counts"] for r in rows]), np.array([r["toxic"] for r in rows]))
 
 

@@ -13,7 +13,8 @@ Counts are gathered from all labelled rows; only the counts of (stratum, rule, g
 
 Defined results: a null or empty text has no words, and so fails the base rule; a long text is counted whole; repeated
 rows are judged alike, each in its own row; labels without a document or without a value don't count; equal texts with
-equal labels count once, since the exact bound needs independent documents; an empty table gives an empty table; further columns are ignored.
+equal labels count once, since the exact bound needs independent documents (near copies of a labelled document count
+each, so the bound is looser than stated where labels hold many); an empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ def _step(keys: list, texts: list[bytes]) -> dict:
     words, lines = Words(texts), [[x for x in t.split(b"\n") if x.strip()] for t in texts]
     return {
         "doc_id": keys,
-        "digest": [int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), "little", signed=True) for t in texts],
+        "digest": [hashlib.blake2b(t, digest_size=16).digest() for t in texts],
         "n_words": words.count,
         "word_chars": np.add.reduceat(_CHAR[words.bytes], words.offsets[:-1]),
         "n_symbols": np.add.reduceat(_SYMBOL[words.bytes], words.offsets[:-1]),
@@ -71,8 +72,8 @@ def _step(keys: list, texts: list[bytes]) -> dict:
 
 
 def text_stats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The counts of every whole text, and a 64-bit digest of it."""
-    return per_text(df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", "doc_id long, digest long, " + ", ".join(f"{n} long" for n in STATS), _step)
+    """The counts of every whole text, and a 128-bit digest of it."""
+    return per_text(df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text", "doc_id long, digest binary, " + ", ".join(f"{n} long" for n in STATS), _step)
 
 
 def rules() -> dict[str, tuple[Column, float]]:
