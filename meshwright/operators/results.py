@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,17 +109,24 @@ def hits(r: BurnResult, queries: DataFrame, width: int = 1024) -> DataFrame:
 
 
 def extract(r: BurnResult, queries: DataFrame, fun: str = "id", check: bool = True) -> DataFrame:
-    """qi and value of every query point (qi, x, y): null outside the extent, else the id written last (null if none) or the sum of measures (0 if none)."""
+    """qi and value of every query point (qi, x, y): null outside the extent, else the id written last (null if none) or the sum of measures (0 if none).
+
+    Entries are reduced before points look them up: runs of one value for each place, then one value for each cell that any
+    point asks for. So a cell of very many points and entries is never made into their pairs.
+    """
     if fun not in ("id", "sum"):
         raise ValueError("fun must be 'id' or 'sum'")
     if fun == "sum" and check:
         check_single_kind(r, "the sum")
-    found = hits(r, queries)
-    last = F.max_by("id", F.struct("rank", "id")).cast("double") if fun == "id" else F.sum("measure")
-    values = found.groupBy("qi").agg(last.alias("found"))
+    width = 256
+    x, y = F.col("x"), F.col("y")
+    within = inside(r.grid, x, y)
+    at = queries.select("qi", within.alias("inside"), F.when(within, row_of(r.grid, y)).alias("row"), F.when(within, col_of(r.grid, x)).alias("col"))
+    asked = at.where("inside").select("row", "col").distinct().withColumn("block", F.floor((F.col("col") - 1) / width).cast("int"))
+    runs = last_ids(pieces(r), width) if fun == "id" else measure_sums(pieces(r), width)
+    found = asked.join(runs, ["row", "block"]).where("col BETWEEN col_start AND col_end").select("row", "col", F.col("last" if fun == "id" else "total").cast("double").alias("found"))
     none = F.lit(None).cast("double") if fun == "id" else F.lit(0.0)
-    joined = queries.select("qi", inside(r.grid, F.col("x"), F.col("y")).alias("inside")).join(values, "qi", "left")
-    return joined.select("qi", F.when(F.col("inside"), F.coalesce("found", none)).alias("value"))
+    return at.join(found, ["row", "col"], "left").select("qi", F.when(F.col("inside"), F.coalesce("found", none)).alias("value"))
 
 
 def covered_area(r: BurnResult, by_id: bool = False) -> DataFrame:
@@ -157,6 +165,31 @@ def elementary(spans: DataFrame, width: int = 4096) -> DataFrame:
     return out.select(*rest, F.col("s.a").alias("col_start"), (F.col("s.b") - 1).alias("col_end"))
 
 
+def reduced(entries: DataFrame, how: dict[str, Callable[[str], Column]], width: int = 4096) -> DataFrame:
+    """row, block, col_start, col_end and columns of entries reduced over all that lie at each place, by functions that can be taken in steps (sums, least and greatest values).
+
+    Entries of one place are reduced in each task before any exchange, so a row of very many geometries comes down to the
+    places that differ, width * (width + 1) / 2 of a block at most.
+    """
+    steps = [f(c).alias(c) for c, f in how.items()]
+    places = in_blocks(entries, width).groupBy("row", "col_start", "col_end").agg(*steps)
+    return elementary(places, width).groupBy("row", "block", "col_start", "col_end").agg(*steps)
+
+
+def last_ids(entries: DataFrame, width: int = 4096) -> DataFrame:
+    """row, block, col_start, col_end, last: the id written last at each place, of entries as :func:`pieces` has them."""
+    ranks = range(4)
+    each = entries.select("row", "col_start", "col_end", *(F.when(F.col("rank") == k, F.col("id")).alias(f"last_{k}") for k in ranks))
+    found = reduced(each, {f"last_{k}": F.max for k in ranks}, width)
+    return found.select("row", "block", "col_start", "col_end", F.coalesce(*(f"last_{k}" for k in reversed(ranks))).alias("last"))
+
+
+def measure_sums(entries: DataFrame, width: int = 4096) -> DataFrame:
+    """row, block, col_start, col_end, n, total: how many entries lie at each place, and the sum of their measures."""
+    each = entries.select("row", "col_start", "col_end", F.lit(1).cast("long").alias("n"), F.col("measure").alias("total"))
+    return reduced(each, {"n": F.sum, "total": F.sum}, width)
+
+
 def largest_share(r: BurnResult, width: int = 4096) -> DataFrame:
     """row, col_start, col_end, id, share: the polygon with the largest share of each cell that any touches, as runs; shares of a geometry's parts are added, and the smaller id wins a tie (shares that are equal to nine places)."""
     cut = elementary(r.spans().drop("part"), width)

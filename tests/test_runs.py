@@ -207,6 +207,38 @@ def test_overlay_of_two_burns(spark, crowd, width):
     assert area == collections.Counter((a[0], b[0]) for _, a, b in expected)
 
 
+def most_joined(df):
+    """The largest number of rows that any join of a frame made, after its rows were collected."""
+    nodes, most = [df._jdf.queryExecution().executedPlan()], 0
+    while nodes:
+        p = nodes.pop()
+        name, metrics = p.getClass().getSimpleName(), p.metrics()
+        if "Join" in name and metrics.contains("numOutputRows"):
+            most = max(most, metrics.get("numOutputRows").get().value())
+        inner = [p.executedPlan()] if name == "AdaptiveSparkPlanExec" else [p.plan()] if name.endswith("QueryStageExec") else []
+        nodes += [*inner, *(p.children().apply(k) for k in range(p.children().size()))]
+    return most
+
+
+@pytest.fixture(scope="module")
+def heap(spark):
+    """300 equal squares over four cells and 20 others, and 400 points in these."""
+    box = lambda i, x: (i, polygon_wkb([(x, 1), (x + 1.5, 1), (x + 1.5, 3), (x, 3), (x, 1)]))
+    squares = spark.createDataFrame([box(i, 2.0) for i in range(300)] + [box(i, 6.0) for i in range(300, 320)], "id int, wkb binary")
+    points = spark.createDataFrame([(i, 2.5 + i % 2, 1.5 + i % 3 / 2) for i in range(400)], "qi int, x double, y double")
+    return burn(squares, grid=TEN, keep=False), points
+
+
+@pytest.mark.parametrize("fun", ["id", "sum"])
+def test_lookup_makes_no_pairs_of_points_and_entries(spark, heap, fun):
+    r, points = heap
+    found = results.extract(r, points, fun, check=False)
+    got = {q["qi"]: q["value"] for q in found.collect()}
+    # edges are written after runs; the even points lie in whole cells, the odd ones in half cells
+    assert got == {i: 299.0 if fun == "id" else (150.0 if i % 2 else 300.0) for i in range(400)}
+    assert 0 < most_joined(found) <= 400
+
+
 @pytest.mark.parametrize("width", [256, 4])
 def test_zonal_by_running_sums(spark, crowd, width):
     r = random.Random(2)
