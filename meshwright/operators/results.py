@@ -317,6 +317,14 @@ def overlay(one: BurnResult, two: BurnResult) -> DataFrame:
     return by_cell(overlay_runs(one, two), "id_1", "id_2", "measure_1", "measure_2")
 
 
+def overlay_sums(one: BurnResult, two: BurnResult, width: int = 256) -> DataFrame:
+    """row, col_start, col_end, n, total_1, total_2: how many rows :func:`overlay` has for each cell of a run, and the sums of their two measures. Each side is summed by place first, and no pair of entries is made."""
+    side = lambda r, k: measure_sums(pieces(r), width).select("row", "block", F.col("col_start").alias(f"a{k}"), F.col("col_end").alias(f"b{k}"), F.col("n").alias(f"n{k}"), F.col("total").alias(f"t{k}"))
+    both = side(one, 1).join(side(two, 2), ["row", "block"]).where("a1 <= b2 AND a2 <= b1")
+    n = {"n": F.col("n1") * F.col("n2"), "total_1": F.col("t1") * F.col("n2"), "total_2": F.col("t2") * F.col("n1")}
+    return both.select("row", F.greatest("a1", "a2").alias("col_start"), F.least("b1", "b2").alias("col_end"), *(v.alias(c) for c, v in n.items()))
+
+
 def overlay_areas(one: BurnResult, two: BurnResult) -> DataFrame:
     """id_1, id_2, cells, weight: of each two polygons with cells in common, how many these are and the sum of the products of their shares. No row is made for a cell."""
     many = (F.col("col_end") - F.col("col_start") + 1).cast("long")

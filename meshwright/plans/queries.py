@@ -244,8 +244,8 @@ def _(spark, d):  # noqa: ANN001, ANN202
 @query("overlay_cells", f"""{_COVER}, pc AS (SELECT {_CELL}, id AS id_2 FROM ({synth.POINTS}) AS p WHERE x BETWEEN 0 AND 60 AND y BETWEEN 0 AND 60)
 SELECT meas.row, meas.col, count(*) AS n, floor((sum(m)) * 1e5 + 0.26) / 1e5 AS weight FROM meas JOIN pc ON pc.row = meas.row AND pc.col = meas.col GROUP BY meas.row, meas.col""")
 def _(spark, d):  # noqa: ANN001, ANN202
-    both = results.overlay(rect_burn(spark, d), point_burn(spark, d))
-    return both.groupBy("row", "col").agg(F.count("*").alias("n"), F.sum("measure_1").alias("weight")).withColumn("weight", settled("weight", 5))
+    both = results.by_cell(results.overlay_sums(rect_burn(spark, d), point_burn(spark, d)), "n", "total_1")
+    return both.withColumnRenamed("total_1", "weight").withColumn("weight", settled("weight", 5))
 
 
 @query("complementarity", f"{_COVER} SELECT row, col, floor((sum(m)) * 1e6 + 0.26) / 1e6 AS coverage FROM meas GROUP BY row, col")

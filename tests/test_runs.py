@@ -239,6 +239,16 @@ def test_lookup_makes_no_pairs_of_points_and_entries(spark, heap, fun):
     assert 0 < most_joined(found) <= 400
 
 
+def test_sums_of_an_overlay_make_no_pairs(spark, heap):
+    r, points = heap
+    other = burn_segments(points.selectExpr("qi AS id"), points.withColumnRenamed("qi", "id"), TEN, kind="point")
+    sums = results.overlay_sums(r, other)
+    got = {(s["row"], c): (s["n"], s["total_1"], s["total_2"]) for s in sums.collect() for c in range(s["col_start"], s["col_end"] + 1)}
+    assert 0 < most_joined(sums) <= 10
+    pairs = results.overlay(r, other).groupBy("row", "col").agg(F.count("*"), F.sum("measure_1"), F.sum("measure_2"))
+    assert got == {(p[0], p[1]): tuple(p[2:]) for p in pairs.collect()} and sum(n for n, _, _ in got.values()) == 300 * 400
+
+
 @pytest.mark.parametrize("width", [256, 4])
 def test_zonal_by_running_sums(spark, crowd, width):
     r = random.Random(2)
