@@ -249,6 +249,18 @@ def test_sums_of_an_overlay_make_no_pairs(spark, heap):
     assert got == {(p[0], p[1]): tuple(p[2:]) for p in pairs.collect()} and sum(n for n, _, _ in got.values()) == 300 * 400
 
 
+@pytest.mark.parametrize("far", [0, 3, 40])
+def test_overlay_meets_only_what_overlaps(spark, far):
+    """Spans of one row: joins make the rows that come out and no others."""
+    grid, r = Grid(0, 0, 100, 1, 100, 1), random.Random(far)
+    spans = [[(i, a, min(99, a + r.randrange(far + 1))) for i, a in enumerate(r.randrange(100) for _ in range(60))] for _ in range(2)]
+    burns = [burn(spark.createDataFrame([(i, polygon_wkb([(a, 0), (b + 1, 0), (b + 1, 1), (a, 1), (a, 0)])) for i, a, b in s], "id int, wkb binary"), grid=grid, mode="approx", keep=False) for s in spans]
+    runs = results.overlay_runs(*burns)
+    got = sorted((s["id_1"], s["id_2"], s["col_start"] - 1, s["col_end"] - 1) for s in runs.collect())
+    assert got == sorted((i, k, max(a, c), min(b, d)) for i, a, b in spans[0] for k, c, d in spans[1] if a <= d and c <= b) and got
+    assert most_joined(runs) <= len(got)
+
+
 @pytest.mark.parametrize("width", [256, 4])
 def test_zonal_by_running_sums(spark, crowd, width):
     r = random.Random(2)
