@@ -249,6 +249,15 @@ def test_sums_of_an_overlay_make_no_pairs(spark, heap):
     assert got == {(p[0], p[1]): tuple(p[2:]) for p in pairs.collect()} and sum(n for n, _, _ in got.values()) == 300 * 400
 
 
+def test_areas_of_equal_geometries_are_added_once(spark, heap):
+    """Pairs of entries are made for one of the equal geometries; only pairs of ids come out for the others."""
+    r, _ = heap
+    whole = burn(spark.createDataFrame([(i, polygon_wkb([(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)])) for i in (7, 8)], "id int, wkb binary"), grid=TEN, mode="approx", keep=False)
+    areas = results.overlay_areas(r, whole)
+    assert {tuple(a) for a in areas.collect()} == {(i, k, 4, 3.0) for i in range(320) for k in (7, 8)}
+    assert 0 < most_joined(areas) <= 640
+
+
 @pytest.mark.parametrize("far", [0, 3, 40])
 def test_overlay_meets_only_what_overlaps(spark, far):
     """Spans of one row: joins make the rows that come out and no others."""
