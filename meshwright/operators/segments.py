@@ -85,17 +85,36 @@ def cut(rows: DataFrame, grid: Grid, beside: bool) -> DataFrame:
     row and col are 0-based. ``beside``: columns beside the grid become the one column -1 or ncol, else they are left out.
     A segment along a grid line belongs to the cell below or right of it, at the far edges to the last row or column.
     """
-    du, dv = F.col("u1") - F.col("u0"), F.col("v1") - F.col("v0")
+    return cut_columns(cut_rows(rows, grid), grid, beside)
+
+
+def rows_passed(rows: DataFrame, grid: Grid) -> tuple[DataFrame, Column, Column]:
+    """The segments that reach the grid's rows, and the first and last row (0-based) of each."""
     low, high = F.least("v0", "v1"), F.greatest("v0", "v1")
     flat = F.col("v0") == F.col("v1")
     first = F.when(flat & (low == grid.nrow), F.lit(float(grid.nrow - 1))).otherwise(F.floor(low))
     last = F.when(flat, first).otherwise(F.ceil(high) - 1)
     near = (low <= grid.nrow) & (high >= 0) & (F.least("u0", "u1") <= grid.ncol)  # what is right of the grid adds nothing
-    rows = explode_range(rows.where(near), "row", F.greatest(first, F.lit(0)), F.least(last, F.lit(grid.nrow - 1)))
+    return rows.where(near), F.greatest(first, F.lit(0)), F.least(last, F.lit(grid.nrow - 1))
+
+
+def cut_rows(rows: DataFrame, grid: Grid, band: int | None = None) -> DataFrame:
+    """One row for each row of the grid that a segment passes, with ta, tb: where along the segment. See :func:`cut`. band: rows have a column band, and only the rows of that band, of so many rows, are taken."""
+    dv, flat = F.col("v1") - F.col("v0"), F.col("v0") == F.col("v1")
+    rows, first, last = rows_passed(rows, grid)
+    if band is not None:
+        first, last = F.greatest(first, F.col("band") * band), F.least(last, F.col("band") * band + band - 1)
+    rows = explode_range(rows, "row", first, last)
     at = lambda k, start, d: (k - F.col(start)) / d
     one, two = at(F.col("row"), "v0", dv), at(F.col("row") + 1, "v0", dv)
     rows = rows.withColumn("ta", F.when(flat, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.least(one, two))))
-    rows = rows.withColumn("tb", F.when(flat, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(one, two)))).where("ta < tb")
+    return rows.withColumn("tb", F.when(flat, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(one, two)))).where("ta < tb")
+
+
+def cut_columns(rows: DataFrame, grid: Grid, beside: bool) -> DataFrame:
+    """Rows of :func:`cut_rows` (u0, u1, ta, tb) cut at columns, with t0, t1. See :func:`cut`."""
+    du = F.col("u1") - F.col("u0")
+    at = lambda k, start, d: (k - F.col(start)) / d
     ua, ub = F.col("u0") + F.col("ta") * du, F.col("u0") + F.col("tb") * du
     left, right = F.least(ua, ub), F.greatest(ua, ub)
     upright = F.col("u0") == F.col("u1")

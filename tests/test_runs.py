@@ -207,17 +207,22 @@ def test_overlay_of_two_burns(spark, crowd, width):
     assert area == collections.Counter((a[0], b[0]) for _, a, b in expected)
 
 
-def most_joined(df):
-    """The largest number of rows that any join of a frame made, after its rows were collected."""
-    nodes, most = [df._jdf.queryExecution().executedPlan()], 0
+def steps_of(df, metric):
+    """Name, text and a number of each step of a frame's plan that counts it, after its rows were collected."""
+    nodes, found = [df._jdf.queryExecution().executedPlan()], []
     while nodes:
         p = nodes.pop()
         name, metrics = p.getClass().getSimpleName(), p.metrics()
-        if "Join" in name and metrics.contains("numOutputRows"):
-            most = max(most, metrics.get("numOutputRows").get().value())
+        if metrics.contains(metric):
+            found.append((name, p.simpleString(100), metrics.get(metric).get().value()))
         inner = [p.executedPlan()] if name == "AdaptiveSparkPlanExec" else [p.plan()] if name.endswith("QueryStageExec") else []
         nodes += [*inner, *(p.children().apply(k) for k in range(p.children().size()))]
-    return most
+    return found
+
+
+def most_joined(df):
+    """The largest number of rows that any join of a frame made."""
+    return max((n for name, _, n in steps_of(df, "numOutputRows") if "Join" in name), default=0)
 
 
 @pytest.fixture(scope="module")
@@ -270,6 +275,27 @@ def test_overlay_meets_only_what_overlaps(spark, far):
     assert most_joined(runs) <= len(got)
 
 
+def zigzags(spark, n=200):
+    """n lines up and down over 10 x 10 cells."""
+    steps = [(i, "line", 0, 0, k, float(k), 9.75 * (k % 2) + 0.125, k + 1.0, 9.75 * ((k + 1) % 2) + 0.125, None) for i in range(n) for k in range(9)]
+    return spark.createDataFrame(steps, "id int, kind string, part int, ring int, seq int, x0 double, y0 double, x1 double, y1 double, w int")
+
+
+def test_lines_are_dealt_out_before_they_are_added_up(spark, monkeypatch):
+    """Partitions of the input don't decide how much one task adds up, and bands of rows make no difference."""
+    from meshwright.operators import lines
+
+    rows, found = zigzags(spark).repartition("id"), []
+    for band in (1, 4, 8, 100):
+        monkeypatch.setattr(lines, "BAND", band)
+        cells = lines.line_cells(rows, TEN)
+        found.append(sorted((c["id"], c["row"], c["col"], round(c["length"], 9)) for c in cells.collect()))
+        dealt = [n for _, text, n in steps_of(cells, "shuffleRecordsWritten") if "hashpartitioning(id" in text and "band" in text]
+        assert dealt == [200 * 9 * -(-10 // band)]
+    assert found[0] == found[1] == found[2] == found[3] and len(found[0]) == 200 * 90
+    assert sum(c[3] for c in found[0]) == pytest.approx(200 * 9 * math.hypot(1, 9.75))
+
+
 @pytest.mark.parametrize("width", [256, 4])
 def test_zonal_by_running_sums(spark, crowd, width):
     r = random.Random(2)
