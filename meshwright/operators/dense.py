@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from meshwright.functions.cells import tile_of
 from meshwright.operators.burn import BurnResult
-from meshwright.operators.results import by_cell, check_single_kind, elementary, in_blocks, kinds_present, pieces, value_runs
+from meshwright.operators.results import by_cell, check_single_kind, elementary, in_blocks, kinds_present, last_ids, measure_sums, pieces, value_runs
 from meshwright.plans.grid import Grid
 
 FUNCTIONS = ("first", "last", "sum", "min", "max", "count", "any")
@@ -81,8 +81,8 @@ def chunk_runs(r: BurnResult, fun: str = "sum", check: bool = True, background:
         raise ValueError("fun must be 'sum' or 'id'")
     if fun == "sum" and check:
         check_single_kind(r, "the sum")
-    value = F.max_by("id", F.struct("rank", "id")).cast("double") if fun == "id" else F.lit(float(background)) + F.sum("measure")
-    return _reduced_runs(pieces(r).drop("part"), value, width)
+    found, value = (last_ids(pieces(r), width), F.col("last").cast("double")) if fun == "id" else (measure_sums(pieces(r), width), F.lit(float(background)) + F.col("total"))
+    return value_runs(found.withColumn("value", value), ["value"])
 
 
 def materialize_chunk(r: BurnResult, fun: str = "sum", check: bool = True) -> DataFrame:

@@ -16,19 +16,25 @@ from meshwright.plans.grid import Grid
 _KIND_TABLES = {"polygon": ("runs", "edges"), "line": ("lines",), "point": ("points",)}
 
 
+def _kinds_given(r: BurnResult) -> list[str]:
+    """The geometry kinds of the input, by one job over these if they are known without a burn, else all kinds."""
+    if r.kinds is None:
+        return list(_KIND_TABLES)
+    found = {k["kind"] for k in r.kinds.where(F.col("kind").isin(*_KIND_TABLES)).distinct().collect()}  # three at most
+    return [k for k in _KIND_TABLES if k in found]
+
+
 def kinds_present(r: BurnResult) -> list[str]:
     """The geometry kinds with any row. Polygons alone need one job over the kinds of the input; else the tables of the kinds there are get burnt."""
-    kinds = list(_KIND_TABLES)
-    if r.kinds is not None:
-        found = {k["kind"] for k in r.kinds.where(F.col("kind").isin(*_KIND_TABLES)).distinct().collect()}  # three at most
-        kinds = [k for k in kinds if k in found]
-        if kinds == ["polygon"]:
-            return kinds
+    kinds = _kinds_given(r)
+    if r.kinds is not None and kinds == ["polygon"]:
+        return kinds
     return [k for k in kinds if any(not getattr(r, n).isEmpty() for n in _KIND_TABLES[k])]
 
 
 def check_single_kind(r: BurnResult, what: str) -> None:
-    found = kinds_present(r)
+    found = _kinds_given(r)
+    found = kinds_present(r) if len(found) > 1 else found  # one kind needs no burn
     if len(found) > 1:
         raise ValueError(f"{what} of mixed geometry kinds ({', '.join(found)}) would add different units; take one kind first")
 

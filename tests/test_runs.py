@@ -296,6 +296,15 @@ def test_lines_are_dealt_out_before_they_are_added_up(spark, monkeypatch):
     assert sum(c[3] for c in found[0]) == pytest.approx(200 * 9 * math.hypot(1, 9.75))
 
 
+def test_chunks_add_up_equal_places_before_spans_are_cut(spark):
+    r = burn_segments(zigzags(spark), None, TEN, kind="line")
+    runs = dense.chunk_runs(r, "sum")
+    total = sum((c["col_end"] - c["col_start"] + 1) * c["value"] for c in runs.collect())
+    assert total == pytest.approx(200 * 9 * math.hypot(1, 9.75))
+    placed = [n for _, text, n in steps_of(runs, "shuffleRecordsWritten") if "hashpartitioning(row" in text and "block" in text]
+    assert placed and max(placed) <= 100
+
+
 @pytest.mark.parametrize("width", [256, 4])
 def test_zonal_by_running_sums(spark, crowd, width):
     r = random.Random(2)
