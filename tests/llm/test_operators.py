@@ -236,6 +236,31 @@ def test_edited_lines_are_found(spark):
     assert found.count() >= 0.98 * 2 * len(texts) / 3
 
 
+def test_bounds_of_distances_change_no_verdict(spark):
+    """Pairs at and around the allowed distance, long and short, with ends shifted; lines that aren't near are mostly told from their letters or beginnings."""
+    r = np.random.default_rng(5)
+    text = lambda n, letters="abcdefgh é0": "".join(r.choice(list(letters), n)).strip() or "a"
+    lines, pairs = [], []
+    for n in (12, 60, 300, 700):
+        for k in range(12):
+            a = text(n)
+            b = list(a)
+            for _ in range(int(n * 0.017 * (k + 1))):  # up to 0.2 of the letters, in two thirds of the line or all over it
+                at = int(r.integers(0, len(b) if k % 2 else max(1, 2 * len(b) // 3)))
+                b[at : at + int(r.integers(0, 2))] = list(text(int(r.integers(1, 3))))
+            for other in ("".join(b), text(6 * n // 7)[:n // 7] + a[: 6 * n // 7], text(n), text(n, "stuvwxyz")):
+                pairs.append((len(lines), len(lines) + 1))
+                lines += [a, other]
+    frame = spark.createDataFrame(list(enumerate(lines)), "id long, norm string")
+    asked = spark.createDataFrame(pairs, "a long, b long")
+    got = {(p["a"], p["b"]): p["near"] for p in op2_lines.compared(asked, frame, 0.8).collect()}
+    sizes = asked.join(frame.toDF("a", "x"), "a").join(frame.toDF("b", "y"), "b")
+    want = {(p["a"], p["b"]): p["d"] <= math.floor(0.2 * max(len(p["x"]), len(p["y"])) + 1e-9) for p in sizes.withColumn("d", F.levenshtein("x", "y")).collect()}
+    assert got == want and 20 < sum(want.values()) < len(want) - 20
+    counted = frame.select("norm", op2_lines.letters("norm").alias("n")).collect()
+    assert all(sum(c["n"]) == len(c["norm"]) and c["n"][0] == c["norm"].count("a") for c in counted)
+
+
 def test_line_links_against_all_pairs(real):
     """Links of lines in the tables: pairs that share a run of eight characters and are near by all-pairs comparison."""
     duckdb = pytest.importorskip("duckdb")
