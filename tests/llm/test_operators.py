@@ -188,6 +188,36 @@ def test_components_and_stars(spark):
     assert groups.components(links.limit(0)).count() == 0
 
 
+def test_large_groups_are_joined_without_all_their_pairs(spark):
+    """A crowd of which the pivots know half: its members meet some of the crowd, not all of it; lines near to none stay alone."""
+    asked, crowd = [], range(2, 202)
+    linked = lambda a, b: b in crowd and (a == 1 and b % 2 == 0 or a in crowd and (a * 31 + b * 17) % 4 > 0)
+
+    def verify(pairs):
+        found = [(r["a"], r["b"]) for r in pairs.collect()]
+        asked.extend(found)
+        return spark.createDataFrame([(a, b, None, linked(a, b)) for a, b in found], "a long, b long, distance double, near boolean")
+
+    rows = spark.createDataFrame([(7, i, 100, (100, 0)) for i in range(210)], "key long, id long, size int, sketch struct<size:int,simhash:long>")
+    out = groups.near_groups(rows, verify, op2_lines.allowed(F.greatest("size_1", "size_2"), 0.8), op2_lines.possible(0.8))
+    assert {r["id"]: r["root"] for r in out.collect()} == dict.fromkeys(range(1, 202), 1)
+    assert len(asked) == len(set(asked)) < 3500  # 210 * 209 / 2 pairs are 21945
+
+
+def test_bounds_of_letters_rule_out_no_near_lines(spark):
+    r = np.random.default_rng(9)
+    lines = ["".join(r.choice(list("abcde é0"), int(r.integers(5, 40)))).strip() or "a" for _ in range(60)]
+    lines += [x[: int(r.integers(0, 3))] + x[int(r.integers(2, 6)) :] + "z" * int(r.integers(0, 4)) for x in lines]
+    frame = spark.createDataFrame(list(enumerate(lines)), "id long, norm string").withColumn("letters", op2_lines.letters("norm"))
+    of, test = op2_lines.bounded(frame, 0.8)
+    own = of(frame.select("id", F.lit(1).alias("root"))).join(frame.select("id", "norm"), "id")
+    pairs = own.toDF("a", "x", "u").crossJoin(own.toDF("b", "y", "v")).where("a < b").withColumn("d", F.levenshtein("u", "v"))
+    near = pairs.withColumn("near", F.col("d") <= op2_lines.allowed(F.greatest(F.length("u"), F.length("v")), 0.8)).withColumn("may", test(F.col("x"), F.col("y")))
+    n = near.groupBy("near", "may").count().collect()
+    n = {(r["near"], r["may"]): r["count"] for r in n}
+    assert n[True, True] > 20 and (True, False) not in n and n[False, False] > 1000
+
+
 def test_lines_keep_one_of_each_group(docs, spark):
     out = {r["doc_id"]: r for r in op2_lines.dedup_lines(docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])).collect()}
     assert out[10]["text"].count("is here") == 1 and out[10]["n_removed"] >= 4  # equal lines always; an edited one if its blocks agree
