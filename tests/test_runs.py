@@ -263,6 +263,19 @@ def test_areas_of_equal_geometries_are_added_once(spark, heap):
     assert 0 < most_joined(areas) <= 640
 
 
+def test_equal_entries_of_an_overlay_meet_as_one_row(spark, heap):
+    """Joins make few rows for 320 squares under 50 equal ones; rows of all pairs of ids come out behind them, also of a null id."""
+    r, _ = heap
+    whole = burn(spark.createDataFrame([(i, polygon_wkb([(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)])) for i in range(50)], "id int, wkb binary"), grid=TEN, mode="approx", keep=False)
+    cells = results.overlay(r, whole)
+    got = collections.Counter(tuple(c) for c in cells.collect())
+    squares = [(9 + k // 2, 3 + k % 2 if i < 300 else 7 + k % 2, i, 0.5 if k % 2 else 1.0) for i in range(320) for k in range(2 * 2)]
+    assert got == {(row - 1, col, i, k, share, 1.0): 1 for row, col, i, share in squares for k in range(50)}
+    assert 0 < most_joined(cells) <= 1000
+    rows = results.gathered(spark.createDataFrame([(1, 5), (1, None), (2, 5), (1, 5)], "place int, id int"), "place").collect()
+    assert collections.Counter((g["place"], i["id"]) for g in rows for i in g["ids"]) == {(1, 5): 2, (1, None): 1, (2, 5): 1}
+
+
 @pytest.mark.parametrize("far", [0, 3, 40])
 def test_overlay_meets_only_what_overlaps(spark, far):
     """Spans of one row: joins make the rows that come out and no others."""
