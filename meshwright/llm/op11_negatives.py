@@ -155,6 +155,19 @@ def prepared(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     return rows.select(F.col(key).cast("long").alias("vec_id"), changed.alias("label"), F.transform(vector, lambda e: F.floor(F.lit(SCALE) * e.cast("double")).cast("double")).alias("x"))
 
 
+def drawn_sample(rows: DataFrame, n: int, sample: int) -> DataFrame:
+    """x of the ``sample`` rows with the least hashes of their ids, or of all, if they are fewer.
+
+    Each task sends its least rows to the driver, so those beyond a cut that some ``2 * sample`` of the ``n`` rows pass are left out
+    before: what the driver gets doesn't grow with the number of tasks. Ids that many rows share can leave fewer, any rows if none.
+    """
+    least = F.xxhash64("vec_id")
+    few = rows if n <= 2 * sample else rows.where(least < F.lit(-(1 << 63) + (1 << 64) * 2 * sample // n))
+    if few is not rows and few.isEmpty():
+        return rows.limit(sample).select("x")
+    return few.orderBy(least, "vec_id").limit(sample).select("x")
+
+
 def built(rows: DataFrame, dims: int, block: int = BLOCK, sample: int = SAMPLE, leaves: int = LEAVES) -> Index | None:
     """The index of rows (vec_id, label, x); None without rows. The sample, of at most ``sample`` rows, shapes the top only."""
     square = F.aggregate("x", F.lit(0.0), lambda s, e: s + e * e)
@@ -164,7 +177,7 @@ def built(rows: DataFrame, dims: int, block: int = BLOCK, sample: int = SAMPLE,
     if most >= 2.0**62:
         raise ValueError("inner products go beyond 64 bits")
     exact = np.float64 if most < 2.0**52 else np.int64
-    drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("x").collect()
+    drawn = drawn_sample(rows, n, sample).collect()
     depth = max(0, math.ceil(math.log2(min(leaves, -(-n // block)))))
     top = Tree(np.array([r["x"] for r in drawn]), depth, most, rows=False)
 
@@ -220,15 +233,15 @@ def search(index: Index, requests: DataFrame, k: int, same: bool) -> DataFrame:
         return run
 
     def visit(first: bool):  # noqa: ANN202
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for i in range(b.num_rows):
-                    number, p = b.column("block")[i].as_py(), pickle.loads(b.column("pack")[i].as_py())
-                    rows = np.flatnonzero(p["home"] == number if first else (p["home"] != number) & p["wanted"][:, number >> 32])
-                    if len(rows):
-                        tree, block = pickle.loads(b.column("tree")[i].as_py())
-                        found = nearest(tree, block, p, rows, k, same)
-                        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in found], names=["request", "vec_id", "score"])
+        def run(key: tuple, packs: pa.Table, trees: pa.Table) -> pa.Table:
+            number, found = key[0].as_py(), [(np.zeros(0, np.int64),) * 3]
+            tree, block = pickle.loads(trees["tree"][0].as_py()) if packs.num_rows and trees.num_rows else (None, None)
+            for pack in packs["pack"] if tree else ():
+                p = pickle.loads(pack.as_py())
+                rows = np.flatnonzero(p["home"] == number if first else (p["home"] != number) & p["wanted"][:, number >> 32])
+                if len(rows):
+                    found.append(nearest(tree, block, p, rows, k, same))
+            return pa.table([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found, strict=True)], names=["request", "vec_id", "score"])
 
         return run
 
@@ -236,7 +249,8 @@ def search(index: Index, requests: DataFrame, k: int, same: bool) -> DataFrame:
         # requests that are near one another share packs, and so the blocks they visit
         packed = asked.select("request", "anchor_id", "label", "x", "low", "high", "kth").mapInArrow(packs(first), "blocks array<long>, pack binary")
         visits = packed.select(F.explode("blocks").alias("block"), "pack")
-        return visits.join(index.blocks, "block").select("block", "pack", "tree").mapInArrow(visit(first), FOUND)
+        # there are packs times blocks, which a join may take for few and send through the driver; and a block's tree comes once
+        return visits.groupBy("block").cogroup(index.blocks.groupBy("block")).applyInArrow(visit(first), FOUND)
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

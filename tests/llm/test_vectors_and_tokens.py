@@ -60,6 +60,30 @@ def test_hard_negatives_against_all_pairs(spark, rows, block):
     assert found == expected
 
 
+def test_sample_sends_the_driver_no_more_from_many_tasks(spark):
+    """The rows of least hashes, of few more that pass the cut; repeated ids leave some rows at least."""
+    rows = spark.range(20000).selectExpr("id AS vec_id", "1 AS label", "array(cast(id AS double)) AS x").repartition(40)
+    drawn = op11_negatives.drawn_sample(rows, 20000, 50)
+    before = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(50).select("x")
+    assert sorted(map(tuple, drawn.collect())) == sorted(map(tuple, before.collect()))
+    assert "Filter" in drawn._jdf.queryExecution().executedPlan().toString()
+    passing = rows.where(F.xxhash64("vec_id") < F.lit(-(1 << 63) + (1 << 64) * 100 // 20000)).count()
+    assert 50 <= passing <= 150
+    for k in (1, 2, 3, 4):
+        same = spark.range(1000).selectExpr(f"{k} AS vec_id", "1 AS label", "array(1.0D) AS x")
+        assert 0 < op11_negatives.drawn_sample(same, 1000, 10).count() <= 10
+
+
+def test_packs_of_anchors_are_not_broadcast(spark, monkeypatch):
+    """Packs times blocks meet by exchange, whatever the tables' sizes let the planner think."""
+    plans, keep = [], op11_negatives.stored
+    monkeypatch.setattr(op11_negatives, "stored", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), keep(df))[1])
+    op11_negatives.op11_hard_negatives(spark, "/root/testdata/sf0.01").count()
+    visits = [p for p in plans if "pack#" in p]
+    assert len(visits) == 4
+    assert all("CoGroup" in p and "BroadcastHashJoin [block" not in p for p in visits)
+
+
 def test_hard_negatives_of_nothing(spark):
     df = vectors(spark, ODD)
     assert op11_negatives.mined(df.limit(0)).collect() == [] and op11_negatives.mined(df.where("vec_id IS NULL")).collect() == []
