@@ -263,6 +263,15 @@ def test_areas_of_equal_geometries_are_added_once(spark, heap):
     assert 0 < most_joined(areas) <= 640
 
 
+def test_areas_of_equal_geometries_are_not_joined_for_each(spark, heap):
+    """Ids that are alike go through joins as arrays: fewer rows than the 640 that come out."""
+    r, _ = heap
+    whole = burn(spark.createDataFrame([(i, polygon_wkb([(0, 0), (10, 0), (10, 10), (0, 10), (0, 0)])) for i in (7, 8)], "id int, wkb binary"), grid=TEN, mode="approx", keep=False)
+    areas = results.overlay_areas(r, whole)
+    assert len(areas.collect()) == 640
+    assert 0 < most_joined(areas) <= 320
+
+
 def test_equal_entries_of_an_overlay_meet_as_one_row(spark, heap):
     """Joins make few rows for 320 squares under 50 equal ones; rows of all pairs of ids come out behind them, also of a null id."""
     r, _ = heap
